@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions import text as X
+from evidentia.operators import keyed
 
 #: What makes two units the same evidence of a version; nulls compare equal.
 IDENTITY = [
@@ -319,7 +319,7 @@ def evidence_context(
         )
     )
     totals = ranked.groupBy("paper_version_id").agg(F.count("*").alias("candidates"))
-    top = top_k_items(ranked, ["paper_version_id"], "item", max_units)
+    top = keyed.top_k_items(ranked, ["paper_version_id"], "item", max_units)
     items = F.col("items")
     running = F.transform(
         items,
@@ -342,18 +342,3 @@ def evidence_context(
             (F.size("kept") < F.col("candidates")).alias("truncated"),
         )
     )
-
-
-def top_k_items(df: DataFrame, keys: list[str], item: str, k: int, salt: int = 32) -> DataFrame:
-    """The ``k`` smallest ``item`` structs per key as a sorted array ``items``.
-
-    Rows are first cut to ``k`` per (key, salt), so no task holds a whole hot key.
-    """
-    from pyspark.sql import Window
-
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(salt)))
-    near = Window.partitionBy(*keys, "_salt").orderBy(item)
-    cut = salted.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k)
-    return cut.groupBy(*keys).agg(
-        F.slice(F.array_sort(F.collect_list(item)), 1, k).alias("items")
-    )

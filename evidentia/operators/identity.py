@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
+from evidentia.operators import keyed
 
 
 def content_fingerprint(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
@@ -34,9 +35,7 @@ def resolve_title(docs: DataFrame, units: DataFrame) -> DataFrame:
     usable = first_page.where(F.length("text").between(12, 300)).select(
         "doc_id", F.struct("ordinal", "text").alias("item")
     )
-    from evidentia.operators.evidence import top_k_items
-
-    longest = top_k_items(usable, ["doc_id"], "item", 5).select(
+    longest = keyed.top_k_items(usable, ["doc_id"], "item", 5).select(
         "doc_id",
         F.element_at(
             F.array_sort(
@@ -126,37 +125,13 @@ def paper_dois(resolved: DataFrame, papers: DataFrame | None = None) -> DataFram
     )
 
 
-def number_in_key(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str
-) -> DataFrame:
-    """1, 2, ... within ``keys`` by ``order``, without one task per key.
-
-    ``bucket`` must not decrease along ``order``. Rows are numbered inside (keys,
-    bucket) and shifted by the counts of earlier buckets, a table with one row per
-    key and bucket.
-    """
-    marked = df.withColumn("_b", bucket)
-    counts = marked.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
-    )
-    inner = Window.partitionBy(*keys, "_b").orderBy(*order)
-    return (
-        marked.withColumn("_i", F.row_number().over(inner))
-        .join(offsets, [*keys, "_b"])
-        .withColumn(name, (F.col("_i") + F.col("_shift")).cast("int"))
-        .drop("_b", "_i", "_shift")
-    )
-
-
 def version_labels(arrivals: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Next free v1, v2, ... label for each new version of a paper, in arrival order.
 
     ``arrivals``: paper_id, arrival; ``existing``: paper_id, version_label. Numbering
     starts after the stored version count, as the store does, and skips taken labels.
     """
-    numbered = number_in_key(arrivals, ["paper_id"], ["arrival"], F.to_date("arrival"), "k")
+    numbered = keyed.number_in_key(arrivals, ["paper_id"], ["arrival"], F.to_date("arrival"), "k")
     if existing is None:
         return numbered.select(
             "paper_id", "arrival", F.concat(F.lit("v"), F.col("k")).alias("version_label")

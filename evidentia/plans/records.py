@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as X
 from evidentia.operators import evidence as E
 from evidentia.operators import identity as I
+from evidentia.operators import keyed as K
 from evidentia.operators import ledger as L
 from evidentia.plans import duck
 from evidentia.plans.registry import query
@@ -386,7 +387,7 @@ def d4(t):
     arrivals = t.orders.select(
         F.col("o_custkey").alias("paper_id"), F.struct("o_orderdate", "o_orderkey").alias("arrival")
     )
-    numbered = I.number_in_key(arrivals, ["paper_id"], ["arrival"], F.year("arrival.o_orderdate"), "k")
+    numbered = K.number_in_key(arrivals, ["paper_id"], ["arrival"], F.year("arrival.o_orderdate"), "k")
     return numbered.select(
         "paper_id", "arrival.o_orderkey", F.concat(F.lit("v"), F.col("k")).alias("version_label")
     )
