@@ -182,10 +182,15 @@ def evidence_on_pages(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(covered, ["paper_version_id", "page"])
 
 
-def typed_evidence(evidence: DataFrame, version, kind: str, limit: int = 20) -> DataFrame:
-    """First rows of one type in a version, in page order (a short list for display)."""
-    rows = list_evidence(evidence, version, types=[kind], include_superseded=False)
-    return rows.orderBy("page_start", "evidence_id").limit(limit)
+def typed_evidence(evidence: DataFrame, kind: str, limit: int = 20) -> DataFrame:
+    """First active rows of one type per version, in page order (lists for display)."""
+    rows = list_evidence(evidence, types=[kind], include_superseded=False).select(
+        "paper_version_id", F.struct("page_start", "evidence_id", "text").alias("item")
+    )
+    top = keyed.top_k_items(rows, ["paper_version_id"], "item", limit)
+    return top.select("paper_version_id", F.explode("items").alias("item")).select(
+        "paper_version_id", "item.*"
+    )
 
 
 def version_summary(evidence: DataFrame) -> DataFrame:

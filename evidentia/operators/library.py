@@ -357,14 +357,20 @@ def compare_papers(claims: DataFrame, latest_versions: DataFrame) -> DataFrame:
     )
 
 
-def compare_versions(claims: DataFrame, versions: DataFrame) -> DataFrame:
-    """Comparison grid: first claim per version and dimension, and comparability.
+def compare_versions(claims: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Comparison grids: first claim per version and dimension, and comparability.
 
-    ``claims`` may carry ``protocol_key``. A dimension is comparable when all
-    versions share one non-null key; missing cells say so and hold no value.
+    ``chosen``: comparison_id, paper_version_id (2 to 4 versions each). ``claims`` may
+    carry ``protocol_key``. A dimension is comparable when all versions of its
+    comparison share one non-null key; missing cells say so and hold no value.
     """
     names = F.array(*[F.lit(name) for name, _ in DIMENSIONS])
-    grid = versions.select("paper_version_id").distinct().withColumn("dimension", F.explode(names))
+    sized = chosen.groupBy("comparison_id").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 4")
+    grid = (
+        chosen.join(sized, "comparison_id", "left_semi")
+        .select("comparison_id", "paper_version_id")
+        .withColumn("dimension", F.explode(names))
+    )
     feeds = F.array_compact(
         F.array(
             *[
@@ -373,17 +379,18 @@ def compare_versions(claims: DataFrame, versions: DataFrame) -> DataFrame:
             ]
         )
     )
-    matched = claims.join(versions.select("paper_version_id"), "paper_version_id", "left_semi").select(
+    matched = claims.join(chosen.select("paper_version_id"), "paper_version_id", "left_semi").select(
         "paper_version_id", "created_at", "claim_id", "statement", "protocol_key",
         F.explode(feeds).alias("dimension"),
     )
     first = keyed.earliest_by(matched, ["paper_version_id", "dimension"], ["created_at", "claim_id"])
     cells = grid.join(first, ["paper_version_id", "dimension"], "left")
-    agreed = cells.groupBy("dimension").agg(
+    agreed = cells.groupBy("comparison_id", "dimension").agg(
         (F.countDistinct(F.coalesce("protocol_key", F.lit(""))) == 1).alias("same_key")
     )
     comparable = F.col("same_key") & F.col("protocol_key").isNotNull()
-    return cells.join(agreed, "dimension").select(
+    return cells.join(agreed, ["comparison_id", "dimension"]).select(
+        "comparison_id",
         "paper_version_id",
         "dimension",
         "claim_id",

@@ -115,14 +115,18 @@ def earliest_unlike(
     """For each class (``by``, ``subject``, ``differ``), the earliest rival row.
 
     A rival belongs to a subject the class overlaps and differs in every column of
-    ``differ``. Returns the class columns and ``rival`` (a struct) where one exists.
+    ``differ``. Representatives merge: those of all overlapped subjects are first
+    reduced to the few of their union, so a class meets five rows, not all edges.
+    Returns the class columns and ``rival`` (a struct) where one exists.
     """
-    own = classes.select(*by, "subject", *differ).distinct()
-    reach = edges.select(*by, "subject", "other")
-    candidates = (
-        own.join(reach, [*by, "subject"])
-        .join(reps.withColumnRenamed("subject", "other"), [*by, "other"])
+    keys = [*by, "subject"]
+    fields = [f.name for f in reps.schema["rep"].dataType.fields]
+    order = [c for c in fields if c not in differ]
+    reach = edges.select(*keys, "other").join(
+        reps.withColumnRenamed("subject", "other"), [*by, "other"]
     )
+    union = representatives(reach.select(*keys, "rep.*"), keys, order, differ)
+    candidates = classes.select(*keys, *differ).distinct().join(union, keys)
     for column in differ:
         candidates = candidates.where(F.col(column) != F.col(f"rep.{column}"))
-    return candidates.groupBy(*by, "subject", *differ).agg(F.min("rep").alias("rival"))
+    return candidates.groupBy(*keys, *differ).agg(F.min("rep").alias("rival"))

@@ -360,12 +360,12 @@ def a8_insights(t):
 
 
 @query("a9_compare_papers", """
-WITH v AS (SELECT paper_id, max(paper_version_id) AS paper_version_id FROM paper_versions WHERE paper_id IN (0, 1, 2, 3) GROUP BY 1),
+WITH v AS (SELECT paper_id, max(paper_version_id) AS paper_version_id FROM paper_versions GROUP BY 1),
 per AS (SELECT v.paper_id, category, count(*) AS claims, count(*) FILTER (WHERE support_state = 'SUPPORTED') AS supported
   FROM claims c JOIN v ON c.paper_version_id = v.paper_version_id GROUP BY 1, 2)
 SELECT paper_id, category, claims, supported, count(*) OVER (PARTITION BY category) = (SELECT count(*) FROM v) AS shared FROM per""")
 def a9(t):
-    latest = t.paper_versions.where(F.col("paper_id").isin(0, 1, 2, 3)).groupBy("paper_id").agg(
+    latest = t.paper_versions.groupBy("paper_id").agg(
         F.max("paper_version_id").alias("paper_version_id")
     )
     return L.compare_papers(t.claims, latest)
@@ -375,14 +375,14 @@ PROTOCOL = "CASE WHEN starts_with(category, 'method.') THEN 'p1' WHEN starts_wit
 
 
 @query("a10_compare_versions", f"""
-WITH v AS (SELECT paper_version_id FROM paper_versions WHERE paper_version_id IN (0, 1, 10, 11)),
-grid AS (SELECT paper_version_id, unnest([{duck.in_list(n for n, _ in L.DIMENSIONS)}]) AS dimension FROM v),
+WITH v AS (SELECT paper_id AS comparison_id, paper_version_id FROM paper_versions),
+grid AS (SELECT comparison_id, paper_version_id, unnest([{duck.in_list(n for n, _ in L.DIMENSIONS)}]) AS dimension FROM v),
 m AS ({' UNION ALL '.join(f"SELECT paper_version_id, '{n}' AS dimension, created_at, claim_id, statement, {PROTOCOL} AS pk FROM claims WHERE {like_any(p)}" for n, p in L.DIMENSIONS)}),
 f AS (SELECT paper_version_id, dimension, arg_min(claim_id, (created_at, claim_id)) AS claim_id, arg_min(statement, (created_at, claim_id)) AS value,
   arg_min(coalesce(pk, ''), (created_at, claim_id)) AS pk FROM m GROUP BY 1, 2),
-c AS (SELECT g.paper_version_id, g.dimension, claim_id, value, nullif(pk, '') AS pk FROM grid g LEFT JOIN f ON g.paper_version_id = f.paper_version_id AND g.dimension = f.dimension),
-s AS (SELECT dimension, count(DISTINCT coalesce(pk, '')) = 1 AS same_key FROM c GROUP BY 1)
-SELECT paper_version_id, c.dimension, claim_id, value, same_key AND pk IS NOT NULL AS comparable FROM c JOIN s ON c.dimension = s.dimension""")
+c AS (SELECT g.comparison_id, g.paper_version_id, g.dimension, claim_id, value, nullif(pk, '') AS pk FROM grid g LEFT JOIN f ON g.paper_version_id = f.paper_version_id AND g.dimension = f.dimension),
+s AS (SELECT comparison_id, dimension, count(DISTINCT coalesce(pk, '')) = 1 AS same_key FROM c GROUP BY 1, 2)
+SELECT c.comparison_id, paper_version_id, c.dimension, claim_id, value, same_key AND pk IS NOT NULL AS comparable FROM c JOIN s ON c.dimension = s.dimension AND c.comparison_id = s.comparison_id""")
 def a10(t):
     claims = t.claims.withColumn(
         "protocol_key",
@@ -390,7 +390,7 @@ def a10(t):
             F.col("category").startswith("result."), F.concat(F.lit("p"), "run_id")
         ),
     )
-    versions = t.paper_versions.where(F.col("paper_version_id").isin(0, 1, 10, 11))
+    versions = t.paper_versions.select(F.col("paper_id").alias("comparison_id"), "paper_version_id")
     return L.compare_versions(claims, versions).drop("reason")
 
 

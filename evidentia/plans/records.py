@@ -137,12 +137,11 @@ def j7(t):
 
 
 @query("p6_typed_evidence", """
-SELECT evidence_id, page_start FROM evidence_history h WHERE evidence_type = 'TABLE'
-  AND paper_version_id = 0
-  AND evidence_id NOT IN (SELECT supersedes_evidence_id FROM evidence_history WHERE supersedes_evidence_id IS NOT NULL)
-ORDER BY page_start, evidence_id LIMIT 20""")
+SELECT paper_version_id, evidence_id, page_start FROM (SELECT *, row_number() OVER (PARTITION BY paper_version_id ORDER BY page_start, evidence_id) AS rn
+  FROM evidence_history h WHERE evidence_type = 'TABLE' AND evidence_id NOT IN (
+    SELECT supersedes_evidence_id FROM evidence_history WHERE supersedes_evidence_id IS NOT NULL)) q WHERE rn <= 20""")
 def p6(t):
-    return E.typed_evidence(history(t), 0, "TABLE").select("evidence_id", "page_start")
+    return E.typed_evidence(history(t), "TABLE").select("paper_version_id", "evidence_id", "page_start")
 
 
 @query("a4_version_summary", f"""

@@ -168,13 +168,15 @@ def works(t):
     """Parts stand for the known external works."""
     return t.part.select(
         F.col("p_partkey").alias("work_id"),
-        F.concat(F.lit("part-"), F.col("p_partkey"), F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("title"),
+        F.concat(
+            F.lit("part-"), "p_partkey", F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), "p_partkey"
+        ).alias("title"),
     )
 
 
 @query("v9_novelty", f"""
 WITH works AS MATERIALIZED (SELECT work_id, {duck.tokens('title')} AS wt FROM (SELECT p_partkey AS work_id,
-  concat('part-', p_partkey, ' ', replace(p_name, ' ', '-')) AS title FROM part) q),
+  concat('part-', p_partkey, ' ', replace(p_name, ' ', '-'), '-', p_partkey) AS title FROM part) q),
 asserting AS MATERIALIZED (SELECT claim_id, list_filter({duck.tokens('substr(statement, 1, 500)')},
   lambda w: NOT list_contains([{duck.in_list(verify.NOVELTY_FILLER)}], w)) AS ct
   FROM claims WHERE claim_type <> 'EXTERNAL' AND regexp_matches(statement, {duck.quote(X.NOVELTY)})),
