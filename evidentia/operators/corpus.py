@@ -15,6 +15,7 @@ from evidentia import tables
 from evidentia.functions import text as X
 from evidentia.operators import graph, overlap
 from evidentia.operators.library import starts_with_any
+from evidentia.session import cut_lineage
 
 
 def claims_scan(
@@ -274,8 +275,9 @@ def numeric_disagreements(claims: DataFrame) -> DataFrame:
         .where((F.size("numbers") > 0) & (F.size("tokens") > 0))
         .withColumn("subject", overlap.subject_key(F.col("tokens")))
         .withColumn("numeric_key", F.array_join("numbers", " "))
-        .drop("tokens", "numbers")
+        .select("claim_id", "paper_id", "created_at", "support_state", "subject", "numeric_key")
     )
+    numbered = cut_lineage(numbered)  # tokenized once, read by every branch below
     generic = F.array(*[F.lit(w) for w in tables.GENERIC_CLAIM_TOKENS])
     edges = overlap.overlap_edges(numbered).where(F.size(F.array_except("shared", generic)) > 0)
     # The earlier claim is the left side of the overlap rule, so look from right to left.

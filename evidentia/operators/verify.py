@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from evidentia import tables
 from evidentia.functions import text as X
 from evidentia.operators import overlap
-
-COUNT = "cast({} as string)"
+from evidentia.session import cut_lineage
 
 
 def prepare(claims: DataFrame) -> DataFrame:
@@ -83,23 +82,22 @@ def cited_facts(prepared: DataFrame, links: DataFrame, evidence: DataFrame) -> D
             F.coalesce("text", F.lit("")).rlike(X.BUDGET_DISPARITY).alias("budget"),
         )
     )
-    summary = per_link.groupBy("claim_id").agg(
-        F.count("*").alias("links"),
-        F.count_if("resolved").alias("resolved"),
+    # The empty term leads each link, so one aggregate can count links and terms alike.
+    terms = per_link.withColumn(
+        "term", F.explode(F.concat(F.array(F.lit("")), F.col("hits")))
+    ).withColumn("lead", F.col("term") == "")
+    return terms.groupBy("claim_id").agg(
+        F.count_if("lead").alias("links"),
+        F.count_if(F.col("lead") & F.col("resolved")).alias("resolved"),
         F.min(F.when(~F.col("resolved"), F.col("evidence_id"))).alias("first_missing"),
         F.coalesce(F.bool_or("is_ocr"), F.lit(False)).alias("ocr_sourced"),
-        F.count_if("is_ocr").alias("ocr_rows"),
-        F.count_if("is_low").alias("low_rows"),
+        F.count_if(F.col("lead") & F.col("is_ocr")).alias("ocr_rows"),
+        F.count_if(F.col("lead") & F.col("is_low")).alias("low_rows"),
         F.collect_set("section_class").alias("classes"),
         F.bool_or("hypothesis").alias("hypothesis"),
         F.bool_or("budget").alias("budget"),
+        F.collect_set(F.when(~F.col("lead"), F.col("term"))).alias("terms"),
     )
-    terms = (
-        per_link.select("claim_id", F.explode("hits").alias("term"))
-        .groupBy("claim_id")
-        .agg(F.collect_set("term").alias("terms"))
-    )
-    return summary.join(terms, "claim_id", "left")
 
 
 def with_facts(prepared: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -229,15 +227,36 @@ VERSION = ["paper_version_id"]
 ORDER = ["created_at", "claim_id"]
 
 
-def version_edges(prepared: DataFrame) -> DataFrame:
+def claim_classes(prepared: DataFrame) -> DataFrame:
+    """Claims reduced to (version, subject, run, numbers) with the earliest of each.
+
+    Everything the peer checks need from other claims is in this table. It is
+    materialized once, so statements are not tokenized again for each use.
+    """
+    classes = (
+        prepared.where(F.col("subject") != "")
+        .groupBy(*VERSION, "subject", "run_id", "numeric_key")
+        .agg(
+            F.count("*").alias("n"),
+            F.min(F.struct(*ORDER)).alias("first"),
+        )
+        .select(*VERSION, "subject", "run_id", "numeric_key", "n", "first.*")
+    )
+    return cut_lineage(classes)
+
+
+def version_edges(classes: DataFrame) -> DataFrame:
     """Overlapping subjects inside each version."""
-    return overlap.overlap_edges(prepared, VERSION)
+    return overlap.overlap_edges(classes, VERSION)
 
 
-def contradiction(prepared: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def contradiction(
+    prepared: DataFrame, classes: DataFrame | None = None, edges: DataFrame | None = None
+) -> DataFrame:
     """Earliest claim of the version with the same subject and other numbers."""
-    edges = version_edges(prepared) if edges is None else edges
-    numbered = prepared.where(F.size("numbers") > 0)
+    classes = claim_classes(prepared) if classes is None else classes
+    edges = version_edges(classes) if edges is None else edges
+    numbered = classes.where(F.col("numeric_key") != "")
     reps = overlap.representatives(numbered, [*VERSION, "subject"], ORDER, ["numeric_key"])
     rivals = overlap.earliest_unlike(numbered, edges, reps, VERSION, ["numeric_key"])
     joined = prepared.join(rivals, [*VERSION, "subject", "numeric_key"], "left")
@@ -253,48 +272,62 @@ def contradiction(prepared: DataFrame, edges: DataFrame | None = None) -> DataFr
     )
 
 
-def consensus(prepared: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def consensus(
+    prepared: DataFrame, classes: DataFrame | None = None, edges: DataFrame | None = None
+) -> DataFrame:
     """Agreement with claims of other runs on the same subject."""
-    edges = version_edges(prepared) if edges is None else edges
+    classes = claim_classes(prepared) if classes is None else classes
+    edges = version_edges(classes) if edges is None else edges
     keys = [*VERSION, "subject"]
-    per_run = prepared.groupBy(*keys, "run_id").agg(F.count("*").alias("n"))
-    reach = edges.select(*VERSION, "subject", "other")
     # Claims of other runs = all claims of the overlapped subjects less the own run's.
-    runs_at = per_run.select(*VERSION, F.col("subject").alias("other"), "run_id", "n")
-    all_at = runs_at.groupBy(*VERSION, "other").agg(F.sum("n").alias("n_all"))
-    total = reach.join(all_at, [*VERSION, "other"]).groupBy(*keys).agg(F.sum("n_all").alias("n_all"))
+    at = classes.groupBy(*VERSION, F.col("subject").alias("other"), "run_id").agg(F.sum("n").alias("n"))
     own = (
-        reach.join(runs_at, [*VERSION, "other"]).groupBy(*keys, "run_id").agg(F.sum("n").alias("n_own"))
+        edges.select(*VERSION, "subject", "other")
+        .join(at, [*VERSION, "other"])
+        .groupBy(*keys, "run_id")
+        .agg(F.sum("n").alias("n_own"))
     )
-    numbered = prepared.where(F.size("numbers") > 0)
+    total = own.groupBy(*keys).agg(F.sum("n_own").alias("n_all"))
+    numbered = classes.where(F.col("numeric_key") != "")
     differ = ["run_id", "numeric_key"]
     reps = overlap.representatives(numbered, keys, ORDER, differ)
     rivals = overlap.earliest_unlike(numbered, edges, reps, VERSION, differ)
-    joined = (
-        prepared.join(total, keys, "left")
+    per_class = (
+        classes.select(*keys, *differ)
+        .join(total, keys, "left")
         .join(own, [*keys, "run_id"], "left")
         .join(rivals, [*keys, *differ], "left")
         .withColumn("others", F.coalesce("n_all", F.lit(0)) - F.coalesce("n_own", F.lit(0)))
+        .where("others > 0")
+        .select(*keys, *differ, "others", F.col("rival.claim_id").alias("rival_id"))
     )
+    joined = prepared.join(per_class, [*keys, *differ], "left").fillna(0, ["others"])
     return result(
         joined,
         "independent_consensus",
         F.when(F.col("others") == 0, "INCONCLUSIVE")
-        .when(F.col("rival").isNotNull(), "FAIL")
+        .when(F.col("rival_id").isNotNull(), "FAIL")
         .otherwise("PASS"),
         F.when(F.col("others") == 0, "no claim of another run on this subject")
-        .when(F.col("rival").isNotNull(), "independent runs disagree")
+        .when(F.col("rival_id").isNotNull(), "independent runs disagree")
         .otherwise("independent runs agree"),
         independent_count=F.col("others"),
-        disagreeing_claim_id=F.col("rival.claim_id"),
+        disagreeing_claim_id=F.col("rival_id"),
     )
 
 
 def falsification(
-    prepared: DataFrame, links: DataFrame, edges: DataFrame | None = None
+    prepared: DataFrame,
+    links: DataFrame,
+    classes: DataFrame | None = None,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
-    """Earliest critique of the subject that cites counter-evidence."""
-    edges = version_edges(prepared) if edges is None else edges
+    """Earliest critique of the subject that cites counter-evidence.
+
+    As in the ledger this follows, such a critique also presses on itself.
+    """
+    classes = claim_classes(prepared) if classes is None else classes
+    edges = version_edges(classes) if edges is None else edges
     countered = links.where(F.col("role") == "COUNTER_EVIDENCE").select("claim_id")
     critiques = (
         prepared.where(F.col("claim_type") == "CRITIQUE")
@@ -452,15 +485,17 @@ def verify(
     prepared = prepare(claims)
     facts = with_facts(prepared, links, evidence)
     wanted = tables.VERIFIERS[: tables.TIER_VERIFIER_COUNT[tier]]
-    edges = version_edges(prepared) if len(wanted) > 4 else None
+    deep = len(wanted) > 4
+    classes = claim_classes(prepared) if deep else None
+    edges = cut_lineage(version_edges(classes)) if deep else None
     plans: dict[str, Callable[[], DataFrame]] = {
         "evidence_existence": lambda: existence(facts),
         "citation": lambda: citation(facts),
         "numeric": lambda: numeric(facts),
         "claim_scope": lambda: claim_scope(facts),
-        "contradiction": lambda: contradiction(prepared, edges),
-        "independent_consensus": lambda: consensus(prepared, edges),
-        "falsification": lambda: falsification(prepared, links, edges),
+        "contradiction": lambda: contradiction(prepared, classes, edges),
+        "independent_consensus": lambda: consensus(prepared, classes, edges),
+        "falsification": lambda: falsification(prepared, links, classes, edges),
         "ocr_sensitivity": lambda: ocr_sensitivity(facts),
     }
     out: DataFrame | None = None
