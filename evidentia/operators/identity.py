@@ -197,13 +197,14 @@ def failed_items(items: DataFrame) -> DataFrame:
 
 def content_dedup_report(assets: DataFrame, inventory: DataFrame) -> DataFrame:
     """Asset totals and bytes of stored files that no asset names."""
-    stray = inventory.join(
-        assets.select("storage_key"), "storage_key", "left_anti"
-    ).agg(F.count("*").alias("duplicate_objects"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("duplicate_bytes"))
+    stray = inventory.join(assets.select("storage_key"), "storage_key", "left_anti")
+    files = stray.agg(F.count("*")).scalar()
+    size = stray.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).scalar()
     totals = assets.agg(F.count("*").alias("assets_total"), F.sum("size_bytes").alias("assets_bytes"))
-    # Both sides are single aggregate rows.
-    return totals.join(F.broadcast(stray), how="cross").withColumn(
-        "dedup_effective", F.col("duplicate_bytes") == 0
+    return (
+        totals.withColumn("duplicate_objects", files)
+        .withColumn("duplicate_bytes", size)
+        .withColumn("dedup_effective", F.col("duplicate_bytes") == 0)
     )
 
 

@@ -348,12 +348,11 @@ def compare_papers(claims: DataFrame, latest_versions: DataFrame) -> DataFrame:
         F.count_if(F.col("support_state") == "SUPPORTED").alias("supported"),
     )
     spread = per.groupBy("category").agg(F.count("*").alias("papers"))
-    total = latest_versions.agg(F.count("*").alias("compared"))
+    total = latest_versions.agg(F.count("*")).scalar()
     return (
         per.join(spread, "category")
-        .join(F.broadcast(total), how="cross")  # one row
-        .withColumn("shared", F.col("papers") == F.col("compared"))
-        .drop("papers", "compared")
+        .withColumn("shared", F.col("papers") == total)
+        .drop("papers")
     )
 
 

@@ -249,7 +249,8 @@ def fts(posts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     scored = (
         hits.join(terms, "token")
         .join(frequency, "token")
-        .join(F.broadcast(corpus), how="cross")  # one row
+        .withColumn("n_docs", corpus.select("n_docs").scalar())
+        .withColumn("avg_len", corpus.select("avg_len").scalar())
         .groupBy("query_id", "document_id", "n_terms")
         .agg(F.count("*").alias("found"), F.round(F.sum(idf * weight), 6).alias("score"))
         .where(F.col("found") == F.col("n_terms"))
@@ -398,6 +399,11 @@ def graph_channel(
     )
 
 
+def as_array(few: DataFrame):
+    """The ids of a limited frame (at most 2 * MAX_LIMIT rows) as one array."""
+    return few.agg(F.collect_list("document_id")).scalar()
+
+
 def hybrid_search(
     scope: DataFrame,
     queries: DataFrame,
@@ -430,8 +436,9 @@ def hybrid_search(
             )
         )
     first = scope.select("document_id").orderBy("document_id").limit(2 * limit)
-    fill = ids.join(F.broadcast(first), how="cross").select(  # at most 2 * MAX_LIMIT rows
-        "query_id", "document_id", F.lit("filters").alias("channel"), F.lit(0.0).alias("part")
+    fill = ids.select(
+        "query_id", F.explode(as_array(first)).alias("document_id"), F.lit("filters").alias("channel"),
+        F.lit(0.0).alias("part"),
     )
     parts = parts.unionByName(fill)
     scored = parts.groupBy("query_id", "document_id").agg(
@@ -443,9 +450,9 @@ def hybrid_search(
         # Every document of the graph channel gains the same amount for every query.
         gain = graph.groupBy("document_id").agg(F.min("distance").alias("distance"))
         seeded = gain.orderBy("distance", "document_id").limit(2 * limit).select("document_id")
-        more = ids.join(F.broadcast(seeded), how="cross").select(  # at most 2 * MAX_LIMIT rows
-            "query_id", "document_id", F.lit(0.0).alias("score"), F.lit(0).alias("in_fts"),
-            F.lit(0).alias("in_semantic"),
+        more = ids.select(
+            "query_id", F.explode(as_array(seeded)).alias("document_id"), F.lit(0.0).alias("score"),
+            F.lit(0).alias("in_fts"), F.lit(0).alias("in_semantic"),
         )
         scored = (
             scored.unionByName(more)
@@ -488,7 +495,7 @@ def hybrid_search(
             channels.alias("channels"),
         )
         .join(shown, "document_id")
-        .join(F.broadcast(size), how="cross")  # one row
+        .withColumn("scope_size", size.scalar())
         .withColumn("warning", F.lit(warning).cast("string"))
     )
 
