@@ -416,25 +416,27 @@ def d5(t):
 
 KEYS = "concat('pdf/sha256/', substr(h, 1, 2), '/', h)"
 STORED = f"""
-d AS (SELECT doc_id, sha256(text) AS h, n_chars FROM documents),
+d AS (SELECT doc_id, sha256(text) AS h, n_chars, lang, source FROM documents),
 a AS MATERIALIZED (SELECT h, concat('ast_', h) AS asset_id, {KEYS} AS storage_key, max(n_chars) AS size_bytes FROM d GROUP BY h),
-inv AS MATERIALIZED (SELECT {KEYS} AS storage_key, CASE WHEN min(doc_id) % 17 = 0 THEN sha256('x') ELSE h END AS actual, max(n_chars) AS size_bytes FROM d
-  WHERE true GROUP BY h HAVING min(doc_id) % 19 > 0 UNION ALL SELECT concat('temp/', cast(doc_id AS string)), h, n_chars FROM d WHERE doc_id % 23 = 0)"""
+inv AS MATERIALIZED (SELECT {KEYS} AS storage_key, CASE WHEN max(source) = 'src7' THEN sha256('x') ELSE h END AS actual, max(n_chars) AS size_bytes FROM d
+  GROUP BY h HAVING max(lang) <> 'es' UNION ALL SELECT concat('temp/', cast(doc_id AS string)), h, n_chars FROM d WHERE source = 'src3')"""
 
 
 def stored(t):
-    d = t.documents.select("doc_id", F.sha2("text", 256).alias("h"), "n_chars")
+    d = t.documents.select("doc_id", F.sha2("text", 256).alias("h"), "n_chars", "lang", "source")
     key = F.concat(F.lit("pdf/sha256/"), F.substring("h", 1, 2), F.lit("/"), "h")
-    grouped = d.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("n_chars").alias("size_bytes"))
+    grouped = d.groupBy("h").agg(
+        F.max("lang").alias("lang"), F.max("source").alias("source"), F.max("n_chars").alias("size_bytes")
+    )
     assets = grouped.select(
         F.concat(F.lit("ast_"), "h").alias("asset_id"), key.alias("storage_key"), F.col("h").alias("sha256"), "size_bytes"
     )
-    inventory = grouped.where("first % 19 > 0").select(
+    inventory = grouped.where("lang <> 'es'").select(
         key.alias("storage_key"),
-        F.when(F.col("first") % 17 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("h")).alias("actual_sha256"),
+        F.when(F.col("source") == "src7", F.sha2(F.lit("x"), 256)).otherwise(F.col("h")).alias("actual_sha256"),
         "size_bytes",
     ).unionByName(
-        d.where("doc_id % 23 = 0").select(
+        d.where("source = 'src3'").select(
             F.concat(F.lit("temp/"), F.col("doc_id")).alias("storage_key"), F.col("h").alias("actual_sha256"), F.col("n_chars").alias("size_bytes")
         )
     )
