@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.plans import extracting, reading, records, registry, searching, verification, views  # noqa: F401
+from evidentia.plans import extracting, operating, reading, records, registry, searching, streams, verification, views  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
