@@ -23,39 +23,49 @@ def required_overlap(size: Column) -> Column:
     return F.greatest(F.lit(2), F.floor(size / 2).cast("int"))
 
 
+#: Tokens probed last. A token outside the list holds at most 1 / HOT of all places.
+HOT = 64
+
+
 def overlap_edges(subjects: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Ordered subject pairs with enough shared tokens for the left one.
 
     ``subjects`` holds ``by`` columns and ``subject``. A left set of n tokens that
-    must share t of them has at least one shared token among its n - t + 1 rarest,
-    so only those are probed. Returns ``by``, ``subject``, ``other``, ``shared``.
+    must share t of them has at least one shared token among any n - t + 1 of its
+    tokens, so only those are probed, the most frequent tokens of the corpus last.
+    Returns ``by``, ``subject``, ``other``, ``shared``.
     """
     by = by or []
-    sets = subjects.select(*by, "subject").where(F.col("subject") != "").distinct()
-    words = sets.withColumn("token", F.explode(F.split("subject", " ")))
-    frequency = words.groupBy("token").agg(F.count("*").alias("freq"))
-    ranked = (
-        words.join(frequency, "token")
-        .groupBy(*by, "subject")
-        .agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("ranked"))
+    sets = (
+        subjects.select(*by, "subject").where(F.col("subject") != "").distinct()
+        .withColumn("tokens", F.split("subject", " "))
     )
-    need = required_overlap(F.size("ranked"))
+    words = sets.select(*by, "subject", F.explode("tokens").alias("token"))
+    hot = words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(HOT)
+    hot_tokens = hot.agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("h")).select("h.token").scalar()
+    need = required_overlap(F.size("tokens"))
     probes = (
-        ranked.withColumn("need", need)
+        sets.withColumn("hot", hot_tokens)
+        .withColumn(
+            "ordered",
+            F.concat(F.array_except("tokens", "hot"), F.array_intersect("hot", "tokens")),
+        )
+        .withColumn("need", need)
         .withColumn(
             "prefix",
-            F.slice(F.col("ranked.token"), F.lit(1), F.greatest(F.size("ranked") - need + 1, F.lit(0))),
+            F.slice(
+                "ordered", F.lit(1), F.greatest(F.size("tokens") - F.col("need") + 1, F.lit(0))
+            ),
         )
-        .select(*by, "subject", "need", "prefix", F.explode("prefix").alias("token"))
+        .select(*by, "subject", "tokens", "need", "prefix", F.explode("prefix").alias("token"))
     )
     targets = words.withColumnRenamed("subject", "other")
     other_tokens = F.split("other", " ")
-    shared = F.array_intersect(F.split("subject", " "), other_tokens)
     first_probe = F.element_at(F.array_intersect("prefix", other_tokens), 1)
     return (
         probes.join(targets, [*by, "token"])
         .where(F.col("token") == first_probe)
-        .withColumn("shared", shared)
+        .withColumn("shared", F.array_intersect("tokens", other_tokens))
         .where(F.size("shared") >= F.col("need"))
         .select(*by, "subject", "other", "shared")
     )

@@ -43,44 +43,40 @@ def cited_facts(prepared: DataFrame, links: DataFrame, evidence: DataFrame) -> D
     rows = links.select("claim_id", "evidence_id").join(wanted, "claim_id").join(
         source, "evidence_id", "left"
     )
-    lowered = F.lower(F.coalesce("text", F.lit("")))
-    flat = F.replace(F.coalesce("text", F.lit("")), F.lit(","))
-    found_numbers = X.statement_numbers(flat)
-    hits = F.concat(
-        F.transform(
-            F.filter("tokens", lambda t: F.contains(F.col("lowered"), t)),
-            lambda t: F.concat(F.lit("t"), t),
-        ),
-        F.transform(
-            F.filter("numbers", lambda n: F.contains(F.col("flat"), n)),
-            lambda n: F.concat(F.lit("n"), n),
-        ),
-        F.transform(
-            F.filter(
-                "numbers",
-                lambda n: F.exists(F.col("found"), lambda c: X.one_character_apart(n, c)),
-            ),
-            lambda n: F.concat(F.lit("d"), n),
-        ),
-    )
+    text = F.coalesce("text", F.lit(""))
+    flat = F.replace(text, F.lit(","))
     low = (F.col("source_method") == "OCR") & (
         F.col("ocr_confidence").isNull() | (F.col("ocr_confidence") < 0.9)
     )
-    per_link = (
-        rows.withColumn("lowered", lowered)
-        .withColumn("flat", flat)
-        .withColumn("found", found_numbers)
-        .select(
-            "claim_id",
-            "evidence_id",
-            F.coalesce("resolved", F.lit(False)).alias("resolved"),
-            hits.alias("hits"),
-            (F.col("source_method") == "OCR").alias("is_ocr"),
-            low.alias("is_low"),
-            F.col("section_class"),
-            F.coalesce("text", F.lit("")).rlike(X.HYPOTHESIS).alias("hypothesis"),
-            F.coalesce("text", F.lit("")).rlike(X.BUDGET_DISPARITY).alias("budget"),
+
+    def hits(body: Column) -> Column:
+        found_tokens = F.filter("tokens", lambda t: F.contains(body["lowered"], t))
+        found_numbers = F.filter("numbers", lambda n: F.contains(body["flat"], n))
+        near = F.filter(
+            "numbers", lambda n: F.exists(body["found"], lambda c: X.one_character_apart(n, c))
         )
+        return F.concat(
+            F.transform(found_tokens, lambda t: F.concat(F.lit("t"), t)),
+            F.transform(found_numbers, lambda n: F.concat(F.lit("n"), n)),
+            F.transform(near, lambda n: F.concat(F.lit("d"), n)),
+        )
+
+    # A one-element array binds the prepared text once for all the terms tested on it.
+    body = F.array(
+        F.struct(
+            F.lower(text).alias("lowered"), flat.alias("flat"), X.statement_numbers(flat).alias("found")
+        )
+    )
+    per_link = rows.select(
+        "claim_id",
+        "evidence_id",
+        F.coalesce("resolved", F.lit(False)).alias("resolved"),
+        F.flatten(F.transform(body, hits)).alias("hits"),
+        (F.col("source_method") == "OCR").alias("is_ocr"),
+        low.alias("is_low"),
+        F.col("section_class"),
+        text.rlike(X.HYPOTHESIS).alias("hypothesis"),
+        text.rlike(X.BUDGET_DISPARITY).alias("budget"),
     )
     # The empty term leads each link, so one aggregate can count links and terms alike.
     terms = per_link.withColumn(

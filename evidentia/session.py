@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.ansi.enabled": "false",
+    # Grouped sets here are small, so hash more groups before sorting them.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000",
 }
 
 
