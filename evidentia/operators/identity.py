@@ -139,24 +139,27 @@ def version_labels(arrivals: DataFrame, existing: DataFrame | None = None) -> Da
     numbers = existing.select(
         "paper_id", F.regexp_extract("version_label", r"^v(\d+)$", 1).alias("n")
     )
-    taken = numbers.groupBy("paper_id").agg(
-        F.count("*").alias("stored"),
-        F.array_sort(
-            F.collect_set(F.when(F.col("n") != "", F.col("n").cast("int")))
-        ).alias("taken"),
-    )
-    joined = numbered.join(taken, "paper_id", "left").withColumn(
-        "taken", F.coalesce("taken", F.array().cast("array<int>"))
+    stored = numbers.groupBy("paper_id").agg(F.count("*").cast("int").alias("stored"))
+    # Only labels above the stored count are in the way; each becomes the number of
+    # free labels below it, so the k-th free label needs one count per row.
+    ahead = (
+        numbers.where("n <> ''")
+        .select("paper_id", F.col("n").cast("int").alias("n"))
+        .distinct()
+        .join(stored, "paper_id")
+        .where("n > stored")
+        .groupBy("paper_id")
+        .agg(F.array_sort(F.collect_list(F.col("n") - F.col("stored"))).alias("taken"))
+        .select("paper_id", F.transform("taken", lambda x, i: x - i - 1).alias("free_below"))
     )
-    start = F.coalesce("stored", F.lit(0)).cast("int")
-    # The k-th free number after `start` lies within k + size(taken) steps.
-    free = F.array_except(
-        F.sequence(start + 1, start + F.col("k").cast("int") + F.size("taken")), F.col("taken")
+    joined = numbered.join(stored, "paper_id", "left").join(ahead, "paper_id", "left")
+    passed = F.size(
+        F.filter(F.coalesce("free_below", F.array().cast("array<int>")), lambda x: x < F.col("k"))
     )
     return joined.select(
         "paper_id",
         "arrival",
-        F.concat(F.lit("v"), F.element_at(free, F.col("k").cast("int"))).alias("version_label"),
+        F.concat(F.lit("v"), F.coalesce("stored", F.lit(0)) + F.col("k") + passed).alias("version_label"),
     )
 
 

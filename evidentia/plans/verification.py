@@ -8,6 +8,7 @@ from evidentia.functions import text as X
 from evidentia.operators import overlap, verify
 from evidentia.plans import duck
 from evidentia.plans.registry import query
+from evidentia.tables import VERIFIERS
 
 
 def facts(t):
@@ -240,12 +241,78 @@ def v13(t):
     return verify.transitions(t.claims, full_tier(t))
 
 
-@query("v11_verify_deep_tier")
+NOVEL = f"""
+works AS MATERIALIZED (SELECT work_id, {duck.tokens('title')} AS wt FROM (SELECT p_partkey AS work_id,
+  concat('part-', p_partkey, ' ', replace(p_name, ' ', '-'), '-', p_partkey) AS title FROM part) q),
+asserting AS (SELECT claim_id, list_filter({duck.tokens('substr(statement, 1, 500)')},
+  lambda w: NOT list_contains([{duck.in_list(verify.NOVELTY_FILLER)}], w)) AS ct
+  FROM claims WHERE claim_type <> 'EXTERNAL' AND regexp_matches(statement, {duck.quote(X.NOVELTY)})),
+novel AS MATERIALIZED (SELECT DISTINCT claim_id FROM (SELECT claim_id, work_id, count(*) AS shared, any_value(n) AS n
+  FROM (SELECT claim_id, len(ct) AS n, unnest(ct) AS w FROM asserting) a
+  JOIN (SELECT work_id, unnest(wt) AS w FROM works) b ON a.w = b.w GROUP BY claim_id, work_id) p WHERE shared >= 2 AND shared / n >= 0.5)"""
+PEERS = PAIRS[PAIRS.index("words AS MATERIALIZED"):]
+DEEP = BASIC.rstrip() + ",\n" + PEERS.rstrip() + "," + NOVEL + """,
+countered AS (SELECT DISTINCT claim_id FROM claim_evidence WHERE role = 'COUNTER_EVIDENCE'),
+pressed AS (SELECT claim_id FROM near_claims WHERE b_type = 'CRITIQUE' AND b_id IN (SELECT claim_id FROM countered)
+  UNION SELECT claim_id FROM prep WHERE claim_type = 'CRITIQUE' AND len(tokens) >= 2 AND claim_id IN (SELECT claim_id FROM countered)),
+against AS (SELECT DISTINCT claim_id FROM near_claims WHERE len(a_numbers) > 0 AND len(b_numbers) > 0 AND a_numbers <> b_numbers),
+others AS (SELECT claim_id, bool_or(len(a_numbers) > 0 AND len(b_numbers) > 0 AND a_numbers <> b_numbers) AS differs FROM near_claims WHERE a_run <> b_run GROUP BY 1),
+deep AS MATERIALIZED (SELECT j.claim_id, [existence, citation, num, scope, CASE WHEN a.claim_id IS NULL THEN 'PASS' ELSE 'FAIL' END,
+    CASE WHEN o.claim_id IS NULL THEN 'INCONCLUSIVE' WHEN differs THEN 'FAIL' ELSE 'PASS' END, CASE WHEN p.claim_id IS NULL THEN 'PASS' ELSE 'WARN' END,
+    CASE WHEN c.low_rows > 0 AND len(c.numbers) > 0 THEN 'WARN' ELSE 'PASS' END, CASE WHEN n.claim_id IS NULL THEN 'INCONCLUSIVE' ELSE 'WARN' END] AS v
+  FROM judged j JOIN checked c ON c.claim_id = j.claim_id LEFT JOIN against a ON a.claim_id = j.claim_id LEFT JOIN others o ON o.claim_id = j.claim_id
+  LEFT JOIN pressed p ON p.claim_id = j.claim_id LEFT JOIN novel n ON n.claim_id = j.claim_id)
+"""
+
+
+@query("v11_verify_deep_tier", DEEP + f"""
+SELECT verifier_type, verdict, count(*) AS claims FROM (SELECT unnest([{duck.in_list(VERIFIERS)}]) AS verifier_type, unnest(v) AS verdict FROM deep) q GROUP BY 1, 2""")
 def v11_deep(t):
     verdicts = verify.verify(t.claims, t.claim_evidence, t.evidence, "T3_DEEP", works(t))
     return verdicts.groupBy("verifier_type", "verdict").agg(F.count("*").alias("claims"))
 
 
+@query("v12_deep_support_state", DEEP + """
+SELECT claim_id, CASE WHEN v[5] = 'FAIL' OR v[6] = 'FAIL' THEN 'DISPUTED' WHEN list_contains(v, 'FAIL') THEN 'UNSUPPORTED' WHEN list_contains(v, 'WARN') THEN 'PARTIALLY_SUPPORTED'
+  WHEN list_contains(v, 'PASS') THEN 'SUPPORTED' ELSE 'INSUFFICIENT_EVIDENCE' END AS support_state FROM deep""")
+def v12_deep(t):
+    return verify.support_state(
+        verify.verify(t.claims, t.claim_evidence, t.evidence, "T3_DEEP", works(t))
+    )
+
+
+@query("v10_external", """
+SELECT s_suppkey AS supplier, k AS field, CASE WHEN k = 'title' OR s_acctbal > 3000 THEN 'PASS' ELSE 'FAIL' END AS verdict
+FROM supplier, (SELECT unnest(['title', 'year']) AS k) q""")
+def v10(t):
+    """Supplier records as stored sources; some stated years differ from the source."""
+    base = t.supplier.select("*", F.explode(F.array(F.lit("title"), F.lit("year"))).alias("field"))
+    year = F.lit(1990) + F.col("s_nationkey")
+    stated = F.when(F.col("s_acctbal") > 3000, year).otherwise(year + 1)
+    cid = F.concat_ws("/", "s_suppkey", "field")
+    claims = base.select(
+        cid.alias("claim_id"),
+        F.lit("EXTERNAL").alias("claim_type"),
+        F.when(F.col("field") == "title", F.concat(F.lit('title: "'), "s_name", F.lit('"')))
+        .otherwise(F.concat(F.lit("year: "), stated))
+        .alias("statement"),
+    )
+    provenances = base.select(
+        F.concat(F.lit("prov/"), cid).alias("provenance_id"),
+        cid.alias("claim_id"),
+        F.lit("mock").alias("source_provider"),
+        F.col("s_name").alias("source_identifier"),
+        F.lit("2024-01-01").cast("timestamp").alias("retrieved_at"),
+        F.sha2("s_name", 256).alias("content_hash"),
+        F.to_json(F.struct(F.col("s_name").alias("title"), year.alias("year"))).alias("citation_text"),
+    )
+    return verify.external(claims, provenances).select(
+        F.split_part("claim_id", F.lit("/"), F.lit(1)).cast("long").alias("supplier"),
+        F.split_part("claim_id", F.lit("/"), F.lit(2)).alias("field"),
+        "verdict",
+    )
+
+
 @query("j6_overlap_edges", f"""
 WITH subjects AS MATERIALIZED (SELECT DISTINCT paper_version_id,
   array_to_string({duck.tokens('statement')}, ' ') AS subject FROM claims),

@@ -508,7 +508,44 @@ def c12_topics(t):
     return V.topic_trends(dated(t), t.tags, t.paper_tags)
 
 
-@query("c13_all_views")
+def scoped(sql: str) -> str:
+    for name in ("claims", "paper_tags", "relations", "dated"):
+        for word in ("FROM", "JOIN"):
+            sql = sql.replace(f"{word} {name} ", f"{word} s_{name} ").replace(f"{word} {name})", f"{word} s_{name})")
+    return sql
+
+
+def view_count(kind: str, source: str) -> str:
+    digest = f"substr(sha256('corpus.{kind}|'), 1, 16)"
+    return f"SELECT 'corpus.{kind}' AS agent_type, 'pinned' AS scope, {digest} AS config_hash, count(*) AS findings FROM ({source}) q"
+
+
+SUBJECT_OR = f"coalesce({duck.subject('statement')}, 'unspecified')"
+ALL_VIEWS = f"""WITH {DATED}, pinned AS (SELECT paper_id FROM collection_papers WHERE pinned),
+s_claims AS MATERIALIZED (SELECT * FROM claims WHERE paper_id IN (SELECT paper_id FROM pinned)), s_paper_tags AS (SELECT * FROM paper_tags WHERE paper_id IN (SELECT paper_id FROM pinned)),
+s_relations AS (SELECT * FROM relations WHERE paper_id IN (SELECT paper_id FROM pinned)), s_dated AS (SELECT * FROM dated WHERE paper_id IN (SELECT paper_id FROM pinned)),
+""" + scoped(f"{TOPICS}, {DATASETS}, {DISAGREE}, {GENEALOGY}") + " " + " UNION ALL ".join(
+    scoped(view_count(kind, source))
+    for kind, source in {
+        "topic_landscape": "SELECT * FROM topics",
+        "method_genealogy": "SELECT DISTINCT node FROM ends JOIN entities ON entity_id = node WHERE entity_type = 'METHOD'",
+        "dataset_landscape": "SELECT DISTINCT dataset FROM ds",
+        "benchmark_matrix": f"SELECT claim_id FROM claims WHERE starts_with(category, 'result.') AND len({duck.numbers('statement')}) > 0",
+        "contradiction_map": "SELECT claim_id FROM numeric_d UNION ALL SELECT relation_id FROM relations WHERE relation_type = 'CONTRADICTS'"
+        " UNION ALL SELECT claim_id FROM uniq WHERE support_state IN ('DISPUTED', 'UNSUPPORTED')",
+        "innovation_map": "SELECT paper_id FROM claims WHERE starts_with(category, 'contribution.') UNION SELECT paper_id FROM paper_tags p JOIN tags g ON p.tag_id = g.tag_id WHERE namespace = 'novelty'",
+        "technique_mining": f"SELECT DISTINCT category, {SUBJECT_OR} FROM claims WHERE starts_with(category, 'technique.')",
+        "reliability_landscape": "SELECT DISTINCT paper_id, category FROM claims WHERE starts_with(category, 'reliability.')",
+        "author_network": "SELECT DISTINCT target_entity_id FROM relations JOIN entities ON entity_id = target_entity_id WHERE relation_type = 'AUTHORED_BY'",
+        "gap_candidates": f"SELECT claim_id FROM claims WHERE category IN ({duck.in_list(V.GAP_CATEGORIES)}) UNION ALL SELECT normalized_name FROM topics WHERE paper_count <= 1",
+        "negative_results": "SELECT claim_id FROM claims WHERE support_state IN ('UNSUPPORTED', 'DISPUTED', 'RETRACTED') OR starts_with(category, 'critique.') OR "
+        + " OR ".join(f"contains(lower(statement), '{w}')" for w in X.FAILURE_WORDS),
+        "temporal_trends": "SELECT DISTINCT year(created_at) FROM dated ",
+    }.items()
+)
+
+
+@query("c13_all_views", ALL_VIEWS)
 def c13(t):
     scope = t.collection_papers.where("pinned").select("paper_id")
     views = V.all_views(t.claims, t.tags, t.paper_tags, t.relations, t.entities, dated(t), scope)
