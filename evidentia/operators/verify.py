@@ -117,19 +117,15 @@ def with_facts(prepared: DataFrame, links: DataFrame, evidence: DataFrame) -> Da
     )
 
 
-def result(
-    df: DataFrame,
-    verifier: str,
-    verdict: Column,
-    reason: Column | None = None,
-    **details: Column,
-) -> DataFrame:
+def verdict_row(
+    verifier: str, verdict: Column, reason: Column | None = None, **details: Column
+) -> Column:
+    """One verifier's outcome as a struct; null details are left out."""
     pairs: list[Column] = []
     for key, value in details.items():
         pairs += [F.lit(key), value.cast("string")]
     data = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return df.select(
-        "claim_id",
+    return F.struct(
         F.lit(f"verification.{verifier}").alias("verifier_type"),
         verdict.alias("verdict"),
         (reason if reason is not None else F.lit("")).alias("reason_summary"),
@@ -137,10 +133,19 @@ def result(
     )
 
 
-def existence(facts: DataFrame) -> DataFrame:
+def outcomes(df: DataFrame, rows: list[Column]) -> DataFrame:
+    """One row per claim and verifier, all from a single pass over ``df``."""
+    one = rows[0] if len(rows) == 1 else F.explode(F.array(*rows))
+    return df.select("claim_id", one.alias("r")).select("claim_id", "r.*")
+
+
+def result(df: DataFrame, verifier: str, verdict: Column, reason: Column | None = None, **details: Column) -> DataFrame:
+    return outcomes(df, [verdict_row(verifier, verdict, reason, **details)])
+
+
+def existence_row() -> Column:
     missing = F.col("links") - F.col("resolved")
-    return result(
-        facts,
+    return verdict_row(
         "evidence_existence",
         F.when((F.col("links") == 0) | (missing > 0), "FAIL").otherwise("PASS"),
         F.when(F.col("links") == 0, "claim cites no evidence")
@@ -151,11 +156,10 @@ def existence(facts: DataFrame) -> DataFrame:
     )
 
 
-def citation(facts: DataFrame) -> DataFrame:
+def citation_row() -> Column:
     total = F.size("tokens")
     share = F.col("token_hits") / total
-    return result(
-        facts,
+    return verdict_row(
         "citation",
         F.when(F.col("resolved") == 0, "FAIL")
         .when(total == 0, "WARN")
@@ -170,14 +174,13 @@ def citation(facts: DataFrame) -> DataFrame:
     )
 
 
-def numeric(facts: DataFrame) -> DataFrame:
+def numeric_row() -> Column:
     kind = (
         F.when((F.size("near") > 0) & F.col("ocr_sourced"), "ocr_digit_corruption")
         .when(F.size("near") > 0, "numeric_mismatch")
         .when(F.size("absent") > 0, "invented_number")
     )
-    return result(
-        facts,
+    return verdict_row(
         "numeric",
         F.when(F.size("absent") > 0, "FAIL").otherwise("PASS"),
         F.coalesce(kind, F.lit("every number appears in the cited text")),
@@ -186,7 +189,7 @@ def numeric(facts: DataFrame) -> DataFrame:
     )
 
 
-def claim_scope(facts: DataFrame) -> DataFrame:
+def claim_scope_row() -> Column:
     on_result = F.arrays_overlap("classes", F.array(F.lit("RESULT"), F.lit("EXPERIMENT")))
     loose = (
         F.col("category").startswith("result.")
@@ -194,8 +197,7 @@ def claim_scope(facts: DataFrame) -> DataFrame:
         & ~F.coalesce(on_result, F.lit(False))
     )
     unequal = F.col("statement").rlike(X.COMPARATIVE) & F.col("budget")
-    return result(
-        facts,
+    return verdict_row(
         "claim_scope",
         F.when(loose & F.col("hypothesis"), "FAIL")
         .when(loose, "WARN")
@@ -208,10 +210,9 @@ def claim_scope(facts: DataFrame) -> DataFrame:
     )
 
 
-def ocr_sensitivity(facts: DataFrame) -> DataFrame:
+def ocr_sensitivity_row() -> Column:
     weak = (F.col("low_rows") > 0) & (F.size("numbers") > 0)
-    return result(
-        facts,
+    return verdict_row(
         "ocr_sensitivity",
         F.when(weak, "WARN").otherwise("PASS"),
         F.when(weak, "numbers rest on low-confidence OCR evidence").otherwise("no OCR risk"),
@@ -219,6 +220,41 @@ def ocr_sensitivity(facts: DataFrame) -> DataFrame:
     )
 
 
+EVIDENCE_ROWS: dict[str, Callable[[], Column]] = {
+    "verification.evidence_existence": existence_row,
+    "verification.citation": citation_row,
+    "verification.numeric": numeric_row,
+    "verification.claim_scope": claim_scope_row,
+    "verification.ocr_sensitivity": ocr_sensitivity_row,
+}
+
+
+def evidence_verdicts(facts: DataFrame, verifiers: list[str] | None = None) -> DataFrame:
+    """Outcomes of the checks that need only a claim's own evidence."""
+    names = list(EVIDENCE_ROWS) if verifiers is None else verifiers
+    return outcomes(facts, [EVIDENCE_ROWS[name]() for name in names])
+
+
+def existence(facts: DataFrame) -> DataFrame:
+    return outcomes(facts, [existence_row()])
+
+
+def citation(facts: DataFrame) -> DataFrame:
+    return outcomes(facts, [citation_row()])
+
+
+def numeric(facts: DataFrame) -> DataFrame:
+    return outcomes(facts, [numeric_row()])
+
+
+def claim_scope(facts: DataFrame) -> DataFrame:
+    return outcomes(facts, [claim_scope_row()])
+
+
+def ocr_sensitivity(facts: DataFrame) -> DataFrame:
+    return outcomes(facts, [ocr_sensitivity_row()])
+
+
 VERSION = ["paper_version_id"]
 ORDER = ["created_at", "claim_id"]
 
@@ -481,38 +517,40 @@ def verify(
     prepared = prepare(claims)
     facts = with_facts(prepared, links, evidence)
     wanted = tables.VERIFIERS[: tables.TIER_VERIFIER_COUNT[tier]]
-    deep = len(wanted) > 4
-    classes = claim_classes(prepared) if deep else None
-    edges = cut_lineage(version_edges(classes)) if deep else None
-    plans: dict[str, Callable[[], DataFrame]] = {
-        "evidence_existence": lambda: existence(facts),
-        "citation": lambda: citation(facts),
-        "numeric": lambda: numeric(facts),
-        "claim_scope": lambda: claim_scope(facts),
-        "contradiction": lambda: contradiction(prepared, classes, edges),
-        "independent_consensus": lambda: consensus(prepared, classes, edges),
-        "falsification": lambda: falsification(prepared, links, classes, edges),
-        "ocr_sensitivity": lambda: ocr_sensitivity(facts),
-    }
-    out: DataFrame | None = None
-    for name in wanted:
-        short = name.split(".", 1)[1]
-        if short == "external_novelty":
-            empty = works is None
-            part = (
-                result(prepared, short, F.lit("INCONCLUSIVE"), F.lit("no external source"))
-                if empty
-                else novelty(prepared, works)
-            )
-        else:
-            part = plans[short]()
-        if short in ("evidence_existence", "citation", "numeric") and provenances is not None:
-            outside = external(claims, provenances).withColumn("verifier_type", F.lit(name))
-            part = part.join(outside.select("claim_id"), "claim_id", "left_anti").unionByName(outside)
-        out = part if out is None else out.unionByName(part)
+    out = evidence_verdicts(facts, [name for name in wanted if name in EVIDENCE_ROWS])
+    if "verification.contradiction" in wanted:
+        classes = claim_classes(prepared)
+        edges = cut_lineage(version_edges(classes))
+        out = (
+            out.unionByName(contradiction(prepared, classes, edges))
+            .unionByName(consensus(prepared, classes, edges))
+            .unionByName(falsification(prepared, links, classes, edges))
+        )
+    if "verification.external_novelty" in wanted:
+        silent = result(prepared, "external_novelty", F.lit("INCONCLUSIVE"), F.lit("no external source"))
+        out = out.unionByName(silent if works is None else novelty(prepared, works))
+    if provenances is not None:
+        # For metadata assertions the stored source replaces the evidence checks.
+        replaced = [name for name in wanted if name in EXTERNAL_REPLACES]
+        outside = external(claims, provenances)
+        plain = out.where(~F.col("verifier_type").isin(*replaced))
+        checked = out.where(F.col("verifier_type").isin(*replaced)).join(
+            outside.select("claim_id"), "claim_id", "left_anti"
+        )
+        names = F.array(*[F.lit(name) for name in replaced])
+        out = plain.unionByName(checked).unionByName(
+            outside.withColumn("verifier_type", F.explode(names))
+        )
     return out
 
 
+EXTERNAL_REPLACES = (
+    "verification.evidence_existence",
+    "verification.citation",
+    "verification.numeric",
+)
+
+
 def support_state(verdicts: DataFrame) -> DataFrame:
     """One support state per claim from its verdicts."""
     fail = F.col("verdict") == "FAIL"
