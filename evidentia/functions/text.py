@@ -196,13 +196,14 @@ def short_hash(*parts: Column, length: int = 16) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in double precision; null when a vector is missing."""
+    """Cosine similarity in double precision; null for a missing or zero vector."""
 
     def dot(x: Column, y: Column) -> Column:
         products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
         return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
 
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return dot(a, b) / F.nullif(norms, F.lit(0.0))
 
 
 def observed_state(value: Column, samples: Column, observed_at: Column, now: Column) -> Column:

@@ -51,7 +51,7 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 # ---- counts ------------------------------------------------------------------------
 
 
-def pipeline_totals(inputs: dict[str, DataFrame]) -> DataFrame:
+def corpus_totals(inputs: dict[str, DataFrame]) -> DataFrame:
     """Row count per named table."""
     out = None
     for name, df in inputs.items():
@@ -322,7 +322,7 @@ def job_state(tasks: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_stages(tasks: DataFrame) -> DataFrame:
+def job_stages(tasks: DataFrame) -> DataFrame:
     """Most urgent state and quality of each (job, stage)."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STATE_PRIORITY]), F.col("state"))
     quality = F.col("quality_state")

@@ -15,11 +15,11 @@ NOW = "2024-01-31 00:00:00"
 TERMINAL = duck.in_list(C.TERMINAL_STATES)
 
 
-@query("a11_pipeline_totals", """
+@query("a11_corpus_totals", """
 SELECT 'papers' AS name, count(*) AS total FROM papers UNION ALL SELECT 'claims', count(*) FROM claims UNION ALL SELECT 'claims_supported', count(*) FROM claims WHERE support_state = 'SUPPORTED'
 UNION ALL SELECT 'evidence', count(*) FROM evidence UNION ALL SELECT 'model_calls', count(*) FROM model_calls""")
 def a11(t):
-    return O.pipeline_totals(
+    return O.corpus_totals(
         {
             "papers": t.papers,
             "claims": t.claims,
@@ -208,10 +208,10 @@ def a18(t):
 PRIORITY = "CASE state " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(O.STATE_PRIORITY)) + " END"
 
 
-@query("a19_pipeline_stages", f"""
+@query("a19_job_stages", f"""
 SELECT job_id, stage_no AS stage, arg_min(state, {PRIORITY}) AS state, CASE WHEN bool_or(attempt = 4) THEN 'DEGRADED' WHEN bool_and(attempt = 1) THEN 'GOOD' ELSE 'UNKNOWN' END AS quality, count(*) AS subtasks FROM tasks GROUP BY 1, 2""")
 def a19(t):
-    return O.pipeline_stages(timed(t))
+    return O.job_stages(timed(t))
 
 
 @query("t4_job_list", f"WITH {JOBS} SELECT job_id, created_at FROM jobs WHERE state = 'RUNNING' ORDER BY created_at DESC, job_id DESC LIMIT 200")
