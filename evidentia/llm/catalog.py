@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import decontaminate, line_frequency, packing, simhash_dedup, token_counts
+from evidentia.llm import decontaminate, line_frequency, packing, secret_scan, simhash_dedup, token_counts, toxicity
 
 QUERIES = (
     decontaminate.op2_decontamination,
+    secret_scan.op3_secret_scan,
+    toxicity.op4_toxicity,
     simhash_dedup.op5_simhash_dedup,
     token_counts.op7_token_counts,
     packing.op8_packing,
