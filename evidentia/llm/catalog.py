@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import decontaminate, line_frequency, packing, secret_scan, simhash_dedup, token_counts, toxicity
+from evidentia.llm import chat_format, decontaminate, line_frequency, packing, secret_scan, simhash_dedup, token_counts, toxicity
 
 QUERIES = (
     decontaminate.op2_decontamination,
@@ -15,6 +15,7 @@ QUERIES = (
     simhash_dedup.op5_simhash_dedup,
     token_counts.op7_token_counts,
     packing.op8_packing,
+    chat_format.op9_chat_format,
     line_frequency.op10_line_frequency,
 )
 
