@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import chat_format, decontaminate, line_frequency, packing, secret_scan, simhash_dedup, token_counts, toxicity
+from evidentia.llm import chat_format, decontaminate, html_cut, line_frequency, packing, secret_scan, simhash_dedup, token_counts, toxicity
 
 QUERIES = (
+    html_cut.op1_html_cut,
     decontaminate.op2_decontamination,
     secret_scan.op3_secret_scan,
     toxicity.op4_toxicity,
