@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import chat_format, decontaminate, html_cut, line_frequency, packing, secret_scan, simhash_dedup, token_counts, toxicity
+from evidentia.llm import chat_format, decontaminate, html_cut, line_frequency, packing, secret_scan, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = (
     html_cut.op1_html_cut,
@@ -14,6 +14,7 @@ QUERIES = (
     secret_scan.op3_secret_scan,
     toxicity.op4_toxicity,
     simhash_dedup.op5_simhash_dedup,
+    suffix_dedup.op6_suffix_dedup,
     token_counts.op7_token_counts,
     packing.op8_packing,
     chat_format.op9_chat_format,
