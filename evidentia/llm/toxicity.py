@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -359,6 +360,26 @@ def scores(rows: DataFrame, model: Model) -> DataFrame:
     return source.mapInArrow(_scorer(shared), schema)
 
 
+def reject(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``documents`` with all their columns, without rows that score ``threshold`` or more."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    scorers: list[Scorer] = []  # one for each task, made where it runs
+
+    def score(texts: pd.Series) -> pd.Series:
+        if not scorers:
+            scorers.append(Scorer(shared.value))
+        plain = [bytes(t).lower() for t in texts]
+        out: list[float] = []
+        for start, end in common.chunks([len(t) for t in plain], 4 * common.CHUNK):
+            scorers[0].learn(plain[start:end])
+            out += [shared.value.score(*scorers[0].count(t)) for t in plain[start:end]]
+        return pd.Series(out, dtype="float64")
+
+    score.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    value = F.pandas_udf(score, "double")(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    return documents.withColumn("__score", value).where(F.col("__score") < threshold).drop("__score")
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
     model = train(documents, common.table(spark, sf_dir, "labels"))
