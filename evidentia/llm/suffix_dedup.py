@@ -81,43 +81,47 @@ def expand(blob: bytes, *kinds: str) -> list[np.ndarray]:
 # Runs -------------------------------------------------------------------------
 
 
-def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (run, ids, sizes, text): documents of a run in reading order."""
-    partition = TaskContext.get().partitionId()
-    number = 0
-    ids: list[int | None] = []
-    texts: list[bytes] = []
-    size = 0
-
-    def row() -> pa.RecordBatch:
-        nonlocal number, size
-        run = partition * (1 << 24) + number
-        number += 1
-        text = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.array([run], pa.int64()),
-                pa.array([ids.copy()], pa.list_(pa.int64())),
-                pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                pa.array([text], pa.binary()),
-            ],
-            ["run", "ids", "sizes", "text"],
-        )
-        ids.clear()
-        texts.clear()
+def packer(run_bytes: int):
+    """Rows (run, ids, sizes, text): documents of a run in reading order, about ``run_bytes`` of text."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition = TaskContext.get().partitionId()
+        number = 0
+        ids: list[int | None] = []
+        texts: list[bytes] = []
         size = 0
-        return out
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-            text = text.as_py() or b""
-            if texts and size + len(text) > RUN_BYTES:
-                yield row()
-            ids.append(doc_id.as_py())
-            texts.append(text)
-            size += len(text)
-    if texts:
-        yield row()
+        def row() -> pa.RecordBatch:
+            nonlocal number, size
+            run = partition * (1 << 24) + number
+            number += 1
+            text = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([run], pa.int64()),
+                    pa.array([ids.copy()], pa.list_(pa.int64())),
+                    pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+                    pa.array([text], pa.binary()),
+                ],
+                ["run", "ids", "sizes", "text"],
+            )
+            ids.clear()
+            texts.clear()
+            size = 0
+            return out
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                text = text.as_py() or b""
+                if texts and size + len(text) > run_bytes:
+                    yield row()
+                ids.append(doc_id.as_py())
+                texts.append(text)
+                size += len(text)
+        if texts:
+            yield row()
+
+    return pack
 
 
 RUNS = "run long, ids array<long>, sizes array<long>, text binary"
@@ -503,12 +507,12 @@ def _remover(buckets: int, partitions: int, with_kept: bool):
 REMOVED = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
 
 
-def remove_repeats(documents: DataFrame, with_kept: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, with_kept: bool = False, run_bytes: int = RUN_BYTES) -> DataFrame:
     """doc_id, n_bytes, removed spans, hash of the kept bytes and, if asked for, these bytes, of every row."""
     spark = documents.sparkSession
     source = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions())
-    runs = source.mapInArrow(_packer, RUNS).repartition(partitions, "run")
+    runs = source.mapInArrow(packer(run_bytes), RUNS).repartition(partitions, "run")
     said = runs.mapInArrow(_announcer(partitions), "run long, bucket long, blob binary")
     codes = said.groupBy("bucket").applyInArrow(_judge, NOTES)
     by_run = runs.groupBy("run")
