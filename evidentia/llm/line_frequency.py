@@ -150,9 +150,9 @@ def removed_words(documents: DataFrame, host: str = "source", max_documents: int
 
 
 def without_frequent_lines(documents: DataFrame, frequent: DataFrame, host: str = "source") -> DataFrame:
-    """Not-removed line numbers live in text: doc_id, text without lines found in ``frequent`` (host, line_hash).
+    """doc_id and text without the lines in ``frequent`` (host, line_hash); texts that lose all lines are absent.
 
-    Lines are exploded, looked up and put together again by their number.
+    Lines are exploded, looked up and put together again by their number. Repeated rows give one.
     """
     keyed = _input(documents, host).withColumn("row", F.xxhash64("doc_id", "host", "text"))
     lines = keyed.mapInArrow(_numbered, "doc_id long, host string, row long, number long, line binary, line_hash binary")
