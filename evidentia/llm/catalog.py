@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import chat_format, decontaminate, html_cut, line_frequency, packing, secret_scan, simhash_dedup, suffix_dedup, token_counts, toxicity
+from evidentia.llm import (
+    chat_format,
+    checking_sql,
+    decontaminate,
+    html_cut,
+    line_frequency,
+    packing,
+    secret_scan,
+    simhash_dedup,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = (
     html_cut.op1_html_cut,
@@ -21,12 +33,10 @@ QUERIES = (
     line_frequency.op10_line_frequency,
 )
 
-SQL: dict[str, str] = {}
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(checking_sql.SQL)
