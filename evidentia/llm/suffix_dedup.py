@@ -7,21 +7,26 @@ Runs. Documents are packed, in reading order, into runs of a few MB of text. A r
 compressed row, exchanged once by its number; every later pass reuses that exchange.
 
 Which suffixes are worth sorting. In each window of ``LENGTH`` bytes the smallest hash of
-``GRAM`` bytes marks an anchor; equal windows have equal anchors. Runs send the hashes of
-their anchors (and of the whole stretch of windows around each) by hash, and get back one
-of four codes per anchor: 0, only one document has it; 1, all its occurrences have the same
-stretch; 2, stretches differ; 3, they differ and many runs have it. Windows of anchors with
-code 0 cannot repeat. For code 1 the suffix that begins with the stretch is sorted as a
-whole, for 2 and 3 the suffix of every window is, all cut where the windows end.
-
-Merge sort. A run sorts its suffixes, keeps one of equal ones with its smallest doc_id,
-and deals them to partitions: by anchor (so neighbouring suffixes compress together), or
-by the whole string for code 3, so that no common phrase gathers in one task. Each slice is
-sent front-coded: length of the prefix shared with its predecessor, and the rest. A
-partition merges its slices with a loser tree that keeps, for every player, the prefix it
-shares with the last winner: players of different shared lengths are decided without
-looking at characters, others are compared from that length on. Equal strings come out
-together; what goes back to a run is one bit per suffix: another run has a smaller id.
+``GRAM`` bytes marks an anchor; equal windows have equal anchors. The windows of one anchor form
+a stretch. A run announces its distinct anchors by hash: hashes of the stretch and of the
+gram with ``SIDE`` bytes to its left and to its right, and the smallest doc_id that has them.
+Answers are flags. WHOLE: another run has the same stretch, so compare stretches; all but the
+smallest document lose it entirely. LEFT, RIGHT: a different stretch of the anchor has the same
+side (two equal windows must have one of them), so compare single windows that can reach
+beyond that side, but only for the smallest document of the stretch. HOT: some run has more than ``SHOWN``
+different stretches of the anchor; it announces just that, so no anchor gathers more than a
+few rows of each run in one task, and each run sends all windows of it.
+
+Merge sort. A run sorts its flagged suffixes (each begins with a stretch and ends where the
+stretch does), keeps one of equal ones with its smallest doc_id, and deals them to
+partitions by anchor; windows of hot anchors are dealt by the whole string, so that a
+common phrase does not gather either. Slices are sent front-coded: length of the prefix
+shared with the predecessor, and the rest. A partition adds the suffixes of flagged
+stretches that start at their other windows to each slice, in order, and merges the slices
+with a loser tree that keeps, for every player, the prefix it shares with the last winner:
+players of different shared lengths are decided without looking at characters, others are
+compared from that length on. Equal strings come out together; what goes back to a run is
+one bit per suffix: a smaller doc_id has it.
 
 Suffixes, anchors and bits are recomputed from the run, not shipped. A null text is empty. A
 null doc_id ranks after all others and equals other nulls. Rows that repeat a doc_id do not
@@ -43,15 +48,18 @@ from pyspark.sql import functions as F
 from evidentia.llm import common
 
 LENGTH = 50
-GRAM = 20
+GRAM = 16
 REACH = LENGTH - GRAM + 1  # places of a gram in a window
+SIDE = (LENGTH - GRAM) // 2  # a window reaches so far beyond its gram on one side at least
+
+WHOLE, LEFT, RIGHT, HOT = 1, 2, 4, 8
+
+#: Different stretches of an anchor that a run announces one by one.
+SHOWN = 64
 
 #: Bytes of text of a run. Partitions of the merge get one slice from each run.
 RUN_BYTES = 6 << 20
 
-#: Runs from which an anchor's suffixes are dealt by the whole string.
-MANY_RUNS = 16
-
 _NULL = (1 << 63) - 1
 _BYTE = common.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _SEGMENT = 1 << 18
@@ -136,97 +144,107 @@ class Run:
         self.sizes = np.array(sizes, dtype=np.int64)
         self.text = zstandard.ZstdDecompressor().decompress(text) if text else b""
         self.starts = np.cumsum(self.sizes) - self.sizes
-        grams, stretches, lows, highs, docs = [], [], [], [], []
-        for first, last in common.chunks(sizes, _SEGMENT):
-            found = self._segment(first, last)
-            for column, part in zip((grams, stretches, lows, highs, docs), found, strict=True):
-                column.append(part)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.grams, self.stretches = join(grams, np.uint64), join(stretches, np.uint64)
-        self.lows, self.highs, self.docs = join(lows, np.int64), join(highs, np.int64), join(docs, np.int64)
-        # Distinct anchors of the run, by hash: entries of the exchange.
-        self.known, self.entry = np.unique(self.grams, return_inverse=True)
+        parts = [self._segment(first, last) for first, last in common.chunks(sizes, _SEGMENT)]
+        columns = zip(*parts, strict=True) if parts else [()] * 6
+        grams, content, lows, highs, at, docs = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
+        grams, content = grams.astype(np.uint64), content.astype(np.uint64)
+        # By gram, equal contents together. (Grams alike in 44 bits may mix: that only splits entries.)
+        order = np.argsort(grams >> np.uint64(20) << np.uint64(20) | common.mixed(content) >> np.uint64(44))
+        self.grams, content = grams[order], content[order]
+        self.lows, self.highs, self.at, self.docs = lows[order], highs[order], at[order], docs[order]
+        # Entries: distinct (gram, content), but one alone for a gram that has more than SHOWN.
+        n = len(order)
+        new_gram = np.r_[True, self.grams[1:] != self.grams[:-1]][:n]
+        new = new_gram | np.r_[True, content[1:] != content[:-1]][:n]
+        gram_of = np.cumsum(new_gram) - 1
+        hot = np.bincount(gram_of[new], minlength=0)[gram_of] > SHOWN if n else np.zeros(0, bool)
+        first = np.flatnonzero(new & ~hot | new_gram)
+        self.entry = np.searchsorted(first, np.arange(n), "right") - 1
+        self.known = self.grams[first]
+        self.hot = hot[first]
+        self.content = np.where(self.hot, np.uint64(0), content[first])
+        self.owner = np.minimum.reduceat(self.ids[self.docs], first) if n else np.zeros(0, np.int64)
 
     def _segment(self, first: int, last: int) -> tuple[np.ndarray, ...]:
-        """Anchors of documents ``first`` to ``last`` - 1: hash, stretch hash, first and last window start, document."""
+        """Anchors of documents ``first`` to ``last`` - 1: gram, content, first and last window start, place, document.
+
+        Content holds 32 bits of the stretch hash and 16 each of the left and right side (0: too near the
+        end of the text).
+        """
         base = int(self.starts[first])
         raw = np.frombuffer(self.text, dtype=np.uint8, count=int(self.sizes[first:last].sum()), offset=base)
-        n = len(raw) - LENGTH + 1
-        if n <= 0:
-            return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        sizes = self.sizes[first:last]
+        counts = np.maximum(sizes - LENGTH + 1, 0)
+        if not counts.any():
+            return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
         sums = common.prefix_sums(_BYTE[raw])
-        places = np.arange(len(raw) - GRAM + 1)
-        grams = common.span_hashes(sums, places, places + GRAM)
+        n = len(raw) - GRAM + 1
+        grams = (sums[GRAM:] - sums[:n]) * common.powers(n)[1]
+        grams = (grams ^ grams >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
         bits = np.uint64(max(20, len(raw).bit_length()))
-        keys = (grams >> bits << bits) | places.astype(np.uint64)
+        keys = (grams >> bits << bits) | np.arange(n, dtype=np.uint64)
         width = 1
         while 2 * width <= REACH:
             keys = np.minimum(keys[: len(keys) - width], keys[width:])
             width *= 2
         if width < REACH:
             keys = np.minimum(keys[: len(keys) - (REACH - width)], keys[REACH - width :])
-        anchor = (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        # Windows that lie in one document.
-        sizes = self.sizes[first:last]
-        document = np.repeat(np.arange(first, last), np.maximum(sizes - LENGTH + 1, 0))
-        offsets = np.repeat(self.starts[first:last] - base, np.maximum(sizes - LENGTH + 1, 0))
-        counts = np.maximum(sizes - LENGTH + 1, 0)
-        inside = np.arange(len(document)) - np.repeat(np.cumsum(counts) - counts, counts)
-        windows = offsets + inside
-        anchor = anchor[windows]
-        if not len(windows):
-            return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
-        new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (document[1:] != document[:-1])])
-        end = np.r_[new[1:], len(windows)] - 1
-        lows, highs = windows[new], windows[end]
-        stretch = common.span_hashes(sums, lows, highs + LENGTH)
-        return grams[anchor[new]], stretch, lows + base, highs + base, document[new]
-
-    # What the run says of its anchors.
-
-    def announced(self) -> np.ndarray:
-        """For each distinct anchor: 30 bits of its stretch hash, and whether documents and stretches differ."""
-        order = np.argsort(self.entry, kind="stable")
-        firsts = np.searchsorted(self.entry[order], np.arange(len(self.known)))
-        ids = self.ids[self.docs[order]]
-        stretch = self.stretches[order]
-        if not len(order):
-            return np.zeros(0, np.uint32)
-        many = np.minimum.reduceat(ids, firsts) != np.maximum.reduceat(ids, firsts)
-        differ = np.minimum.reduceat(stretch, firsts) != np.maximum.reduceat(stretch, firsts)
-        c = (stretch[firsts] & np.uint64(0xFFFFFFFC)).astype(np.uint32)
-        return c | (many.astype(np.uint32) << 1) | differ.astype(np.uint32)
+        # Windows that lie in one document, by their starts.
+        starts = self.starts[first:last] - base
+        row = np.repeat(np.arange(last - first), counts)
+        windows = np.arange(len(row)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+        anchor = (keys[windows] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
+        lows, highs = windows[new], windows[np.r_[new[1:], len(windows)] - 1]
+        at, row = anchor[new], row[new]
+        stretch = common.span_hashes(sums, lows, highs + LENGTH) >> np.uint64(32) << np.uint64(32)
+        from_left, to_right = at - SIDE, at + GRAM + SIDE
+        has_left, has_right = from_left >= starts[row], to_right <= starts[row] + sizes[row]
+        left = common.span_hashes(sums, np.where(has_left, from_left, at), at + GRAM) >> np.uint64(48)
+        right = common.span_hashes(sums, at, np.where(has_right, to_right, at)) >> np.uint64(48)
+        left = np.where(has_left, left | np.uint64(1), np.uint64(0))
+        right = np.where(has_right, right | np.uint64(1), np.uint64(0))
+        # Anchors have small hashes: mixed once more, they spread evenly over buckets.
+        return common.mixed(grams[at]), stretch | left << np.uint64(16) | right, lows + base, highs + base, at + base, row + first
 
     def dealt(self, buckets: int) -> np.ndarray:
-        """Bucket of each distinct anchor; ascending, as the hashes are."""
+        """Bucket of each entry; ascending, as the grams are."""
         return ((self.known >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
     def suffixes(self, codes: np.ndarray, partitions: int) -> dict[int, dict[bytes, list]]:
-        """By partition: string -> [smallest id, (document, start) of each occurrence]."""
+        """By partition: string -> [smallest id, range of windows that count too, (document, start) of each occurrence]."""
         out: dict[int, dict[bytes, list]] = {}
         code = codes[self.entry] if len(self.entry) else np.zeros(0, np.uint8)
-        at = np.flatnonzero(code)
-        home = (common.mixed(self.grams[at]) % np.uint64(partitions)).astype(np.int64)
+        of = np.flatnonzero(code)  # a gram that is hot to this run has one entry: its occurrences all are
+        code, low, high, at = code[of], self.lows[of], self.highs[of], self.at[of]
+        home = (self.grams[of] % np.uint64(partitions)).astype(np.int64)
+        # Windows that can be shared: with the left side alone, or the right, they end or begin near the gram.
+        first = np.where(code & LEFT, low, np.maximum(low, at - SIDE + 1)) - low
+        last = np.where(code & RIGHT, high, np.minimum(high, at + GRAM + SIDE - 1 - LENGTH)) - low + 1
+        first, last = np.where(code & (LEFT | RIGHT), (first, np.maximum(first, last)), 0)
         text, ids = self.text, self.ids.tolist()
-        rows = zip(
-            code[at].tolist(), home.tolist(), self.lows[at].tolist(), self.highs[at].tolist(), self.docs[at].tolist(), strict=True
-        )
-        for kind, partition, low, high, document in rows:
+        columns = (code, home, low, high, first, last, self.docs[of])
+        for flags, partition, low, high, first, last, document in zip(*(c.tolist() for c in columns), strict=True):
             own = ids[document]
-            if kind == 1:
-                pieces = ((low, text[low : high + LENGTH]),)
-            else:
-                pieces = ((p, text[p : p + LENGTH]) for p in range(low, high + 1))
-            for start, string in pieces:
-                if kind == 3:
+            if flags & HOT:
+                for start in range(low, high + 1):
+                    string = text[start : start + LENGTH]
                     partition = int.from_bytes(hashlib.blake2b(string, digest_size=6).digest(), "little") % partitions
-                slot = out.setdefault(partition, {})
-                seen = slot.get(string)
-                if seen is None:
-                    slot[string] = [own, (document, start)]
-                else:
+                    seen = out.setdefault(partition, {}).setdefault(string, [own, (0, 0)])
                     seen[0] = min(seen[0], own)
                     seen.append((document, start))
+                continue
+            slot = out.setdefault(partition, {})
+            string = text[low : high + LENGTH]
+            seen = slot.get(string)
+            if seen is None:
+                slot[string] = [own, (first, last), (document, low)]
+                continue
+            seen[0] = min(seen[0], own)
+            if last > first:
+                a, b = seen[1]
+                seen[1] = (min(a, first), max(b, last)) if b > a else (first, last)
+            seen.append((document, low))
         return out
 
 
@@ -238,14 +256,21 @@ def _announcer(buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 own = Run(row["ids"], row["sizes"], row["text"])
-                said, bucket = own.announced(), own.dealt(buckets)
-                low = (own.known & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                bucket = own.dealt(buckets)
+                gram = (own.known & np.uint64(0xFFFFFFFF)).astype("<u4")
+                gram = np.diff(gram, prepend=np.uint32(0))  # wraps where a bucket begins; sums restore it
+                base = int(own.ids.min())
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
                 numbers, blobs = [], []
                 for b in np.unique(bucket).tolist():
                     part = slice(edges[b], edges[b + 1])
+                    first = (own.known[edges[b]] & np.uint64(0xFFFFFFFF)).astype("<u4")
+                    steps = gram[part].copy()
+                    steps[0] = first
                     numbers.append(b)
-                    blobs.append(squeeze(low[part], said[part]))
+                    blobs.append(
+                        squeeze(steps, own.content[part], own.owner[part] - base, own.hot[part].astype(np.uint8), np.array([base]))
+                    )
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["run"]] * len(numbers), pa.int64()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())],
                     ["run", "bucket", "blob"],
@@ -254,24 +279,53 @@ def _announcer(buckets: int):
     return run
 
 
+class _Groups:
+    """Rows by equal keys."""
+
+    def __init__(self, key: np.ndarray):
+        self.order = np.argsort(key)
+        new = np.r_[True, np.diff(key[self.order]) != 0]
+        self.firsts = np.flatnonzero(new)
+        self.number = np.empty(len(key), dtype=np.uint64)
+        self.number[self.order] = np.cumsum(new) - 1
+
+    def least(self, value: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(value[self.order], self.firsts)[self.number]
+
+    def most(self, value: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(value[self.order], self.firsts)[self.number]
+
+    def varies(self, value: np.ndarray) -> np.ndarray:
+        """Whether the rows of each row's group differ in ``value``."""
+        return self.least(value) != self.most(value)
+
+
+def flags_of(gram: np.ndarray, content: np.ndarray, owner: np.ndarray, hot: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Flags of all announced entries of a bucket."""
+    gram = gram.astype(np.uint64)
+    stretch, sides = content >> np.uint64(32), content & np.uint64(0xFFFFFFFF)
+    stretches = _Groups(gram << np.uint64(32) | stretch)
+    whole = stretches.varies(run)
+    left, right = (
+        _Groups(gram << np.uint64(16) | side).varies(stretch) & (side > 0) for side in (sides >> np.uint64(16), sides & np.uint64(0xFFFF))
+    )
+    first = owner == _Groups(stretches.number << np.uint64(32) | sides).least(owner)
+    is_hot = _Groups(gram).most(hot) > 0
+    return np.where(is_hot, HOT, whole * WHOLE + first * (left * LEFT + right * RIGHT)).astype(np.uint8)
+
+
 def _judge(key: tuple, group: pa.Table) -> pa.Table:
-    """Codes of a bucket's anchors, for each run in the order it sent them."""
+    """Flags of a bucket's entries, for each run in the order it sent them."""
     runs = group.column("run").to_pylist()
-    parts = [expand(b.as_py(), "<u4", "<u4") for b in group.column("blob")]
+    parts = [expand(b.as_py(), "<u4", "<u8", "<i8", "u1", "<i8") for b in group.column("blob")]
     sizes = [len(p[0]) for p in parts]
-    anchors = np.concatenate([p[0] for p in parts])
-    said = np.concatenate([p[1] for p in parts])
-    _, group_of, count = np.unique(anchors, return_inverse=True, return_counts=True)
-    many = np.bincount(group_of, (said >> 1) & 1, minlength=len(count)) + (count > 1) > 0
-    stretch = (said >> 2).astype(np.int64)
-    low = np.full(len(count), 1 << 40)
-    np.minimum.at(low, group_of, stretch)
-    high = np.full(len(count), -1)
-    np.maximum.at(high, group_of, stretch)
-    differ = (np.bincount(group_of, said & 1, minlength=len(count)) > 0) | (low != high)
-    code = np.where(many, np.where(differ, np.where(count >= MANY_RUNS, 3, 2), 1), 0).astype(np.uint8)[group_of]
+    gram = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
+    content = np.concatenate([p[1] for p in parts])
+    owner = np.concatenate([p[2] + p[4] for p in parts])
+    hot = np.concatenate([p[3] for p in parts])
+    flags = flags_of(gram, content, owner, hot, np.repeat(np.arange(len(runs)), sizes))
     ends = np.cumsum(sizes)
-    blobs = [squeeze(code[end - size : end]) for end, size in zip(ends, sizes, strict=True)]
+    blobs = [squeeze(flags[end - size : end]) for end, size in zip(ends, sizes, strict=True)]
     n = len(runs)
     return pa.table(
         {
@@ -289,8 +343,8 @@ NOTES = "run long, kind long, part long, blob binary"
 # Merge ------------------------------------------------------------------------
 
 
-def front_coded(strings: list[bytes], owners: list[int]) -> bytes:
-    """Sorted strings as shared prefix lengths, tail lengths and tails, with an id for each."""
+def front_coded(strings: list[bytes], owners: list[int], windows: list[tuple[int, int]]) -> bytes:
+    """Sorted strings as shared prefix lengths, tail lengths and tails, with an id and a range of windows for each."""
     shared, lengths, tails = [], [], []
     last = b""
     for s in strings:
@@ -303,19 +357,55 @@ def front_coded(strings: list[bytes], owners: list[int]) -> bytes:
         last = s
     arrays = (
         np.array(shared, dtype="<u2"), np.array(lengths, dtype="<u2"), np.array(owners, dtype="<i8"),
+        np.array([a for a, _ in windows], dtype=np.uint8), np.array([b for _, b in windows], dtype=np.uint8),
         np.frombuffer(b"".join(tails), dtype=np.uint8),
     )
     return squeeze(*arrays)
 
 
-def decoded(blob: bytes) -> Iterator[tuple[bytes, int, int]]:
-    """(string, prefix shared with the one before, id) in order."""
-    shared, lengths, owners, tails = expand(blob, "<u2", "<u2", "<i8", "u1")
+def decoded(blob: bytes) -> Iterator[tuple[bytes, int, int, int, int]]:
+    """(string, prefix shared with the one before, id, first and end window) in order."""
+    shared, lengths, owners, firsts, ends, tails = expand(blob, "<u2", "<u2", "<i8", "u1", "u1", "u1")
     raw, at, last = tails.tobytes(), 0, b""
-    for n, length, owner in zip(shared.tolist(), lengths.tolist(), owners.tolist(), strict=True):
+    rows = zip(*(c.tolist() for c in (shared, lengths, owners, firsts, ends)), strict=True)
+    for n, length, owner, first, end in rows:
         last = last[:n] + raw[at : at + length]
         at += length
-        yield last, n, owner
+        yield last, n, owner, first, end
+
+
+class Slice:
+    """A run's slice with the suffixes that start at counted windows of its stretches, in order."""
+
+    def __init__(self, blob: bytes):
+        rows = list(decoded(blob))
+        strings, owners = [r[0] for r in rows], [r[2] for r in rows]
+        for string, _, owner, first, end in rows:
+            strings += [string[i : i + LENGTH] for i in range(first, end)]
+            owners += [owner] * (end - first)
+        if len(strings) > len(rows):
+            self.places = sorted(range(len(strings)), key=strings.__getitem__)
+            self.strings = [strings[i] for i in self.places]
+            self.owners = [owners[i] for i in self.places]
+            self.shared = None
+        else:
+            self.places = range(len(strings))
+            self.strings, self.owners, self.shared = strings, owners, [r[1] for r in rows]
+        self.bits = bytearray(len(strings))
+
+    def stream(self) -> Iterator[tuple[bytes, int, int]]:
+        last = b""
+        for i, (string, owner) in enumerate(zip(self.strings, self.owners, strict=True)):
+            if self.shared is not None:
+                n = self.shared[i]
+            else:
+                n, most = 0, min(len(last), len(string))
+                if string == last:
+                    n = most
+                while n < most and last[n] == string[n]:
+                    n += 1
+            yield string, n, owner
+            last = string
 
 
 def merged(streams: list[Iterator[tuple[bytes, int, int]]]) -> Iterator[tuple[bytes, int, int, int]]:
@@ -382,36 +472,41 @@ def merged(streams: list[Iterator[tuple[bytes, int, int]]]) -> Iterator[tuple[by
             node //= 2
 
 
-def _merge(key: tuple, group: pa.Table) -> pa.Table:
-    """Bits of each run's slice: some other run has the string under a smaller id."""
-    runs = group.column("run").to_pylist()
-    blobs = [b.as_py() for b in group.column("blob")]
-    bits: list[bytearray] = [bytearray() for _ in runs]
+def settle(slices: list[Slice]) -> None:
+    """Sets the bits of all suffixes that a smaller doc_id has as well."""
+    seen = [0] * len(slices)
     equal: list[tuple[int, int, int]] = []
 
-    def settle() -> None:
+    def close() -> None:
         least = min(x[2] for x in equal)
         for stream, place, owner in equal:
-            bits[stream][place] = owner > least
+            slices[stream].bits[place] = owner > least
 
-    last: bytes | None = None
-    for string, shared, owner, stream in merged([decoded(b) for b in blobs]):
-        if equal and not (last is not None and shared == len(string) == len(last)):
+    last = b""
+    for string, shared, owner, stream in merged([s.stream() for s in slices]):
+        if equal and not shared == len(string) == len(last):
             if len(equal) > 1:
-                settle()
+                close()
             equal = []
-        equal.append((stream, len(bits[stream]), owner))
-        bits[stream].append(0)
+        equal.append((stream, slices[stream].places[seen[stream]], owner))
+        seen[stream] += 1
         last = string
     if len(equal) > 1:
-        settle()
+        close()
+
+
+def _merge(key: tuple, group: pa.Table) -> pa.Table:
+    """Bits of each run's slice."""
+    runs = group.column("run").to_pylist()
+    slices = [Slice(b.as_py()) for b in group.column("blob")]
+    settle(slices)
     n = len(runs)
     return pa.table(
         {
             "run": pa.array(runs, pa.int64()),
             "kind": pa.array([1] * n, pa.int64()),
             "part": pa.array([key[0].as_py()] * n, pa.int64()),
-            "blob": pa.array([squeeze(np.packbits(np.frombuffer(b, dtype=np.uint8))) for b in bits], pa.binary()),
+            "blob": pa.array([squeeze(np.packbits(np.frombuffer(s.bits, dtype=np.uint8))) for s in slices], pa.binary()),
         }
     )
 
@@ -442,7 +537,7 @@ def _sender(buckets: int, partitions: int):
                 order = sorted(strings)
                 numbers.append(number)
                 parts.append(part)
-                blobs.append(front_coded(order, [strings[s][0] for s in order]))
+                blobs.append(front_coded(order, [strings[s][0] for s in order], [strings[s][1] for s in order]))
         return pa.table(
             {"run": pa.array(numbers, pa.int64()), "part": pa.array(parts, pa.int64()), "blob": pa.array(blobs, pa.binary())}
         )
@@ -470,12 +565,19 @@ def _remover(buckets: int, partitions: int, with_kept: bool):
             starts, ends = [], []
             for part, strings in run.suffixes(_codes(run, notes, buckets), partitions).items():
                 order = sorted(strings)
-                for string, elsewhere in zip(order, bits[part][: len(order)].tolist(), strict=True):
-                    least, *places = strings[string]
+                said = bits[part]
+                after = len(order)  # bits of windows follow those of strings
+                for string, elsewhere in zip(order, said[: len(order)].tolist(), strict=True):
+                    least, (first, end), *places = strings[string]
+                    alone = (np.flatnonzero(said[after : after + end - first]) + first).tolist() if end > first else ()
+                    after += end - first
                     for document, start in places:
                         if elsewhere or own[document] > least:
                             starts.append(start)
                             ends.append(start + len(string))
+                        else:
+                            starts += [start + i for i in alone]
+                            ends += [start + i + LENGTH for i in alone]
             np.add.at(marks, starts, 1)
             np.add.at(marks, ends, -1)
             gone = np.cumsum(marks[:-1]) > 0

@@ -133,7 +133,8 @@ def test_merge_is_sorted_and_shares_prefixes():
     for _ in range(5):
         own = sorted({bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(0, 60))})
         runs.append(own)
-    streams = [suffix_dedup.decoded(suffix_dedup.front_coded(r, [i] * len(r))) for i, r in enumerate(runs)]
+    blobs = [suffix_dedup.front_coded(r, [i] * len(r), [(0, 0)] * len(r)) for i, r in enumerate(runs)]
+    streams = [suffix_dedup.Slice(b).stream() for b in blobs]
     last, seen = b"", []
     for string, shared, owner, stream in suffix_dedup.merged(streams):
         common = next((i for i, (a, b) in enumerate(zip(last, string, strict=False)) if a != b), min(len(last), len(string)))
