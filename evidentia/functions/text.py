@@ -65,10 +65,18 @@ SENSITIVE_KEYS = (
     "env",
     "request_headers",
 )
-SENSITIVE_MARKERS = (
-    "apikey|secret|password|credential|authorization|cookie|accesstoken|refreshtoken"
-    "|accesskey|csrftoken"
-)
+SENSITIVE_MARKERS = [
+    "apikey",
+    "secret",
+    "password",
+    "credential",
+    "authorization",
+    "cookie",
+    "accesstoken",
+    "refreshtoken",
+    "accesskey",
+    "csrftoken",
+]
 
 
 def all_matches(text: Column, pattern: str) -> Column:
@@ -182,7 +190,7 @@ def redact(text: Column) -> Column:
 
 def is_sensitive_key(key: Column) -> Column:
     flat = F.regexp_replace(F.lower(key), "[^a-z0-9]", "")
-    return F.lower(key).isin(*SENSITIVE_KEYS) | flat.rlike(SENSITIVE_MARKERS)
+    return F.lower(key).isin(*SENSITIVE_KEYS) | flat.rlike("|".join(SENSITIVE_MARKERS))
 
 
 def redact_map(data: Column) -> Column:

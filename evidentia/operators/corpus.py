@@ -153,7 +153,7 @@ def genealogy_edges(
 
 
 def dataset_name(statement: Column) -> Column:
-    return F.coalesce(X.claim_subject(statement), F.substring(statement, 1, 60))
+    return F.coalesce(X.claim_subject(statement), statement)
 
 
 def dataset_claims(claims: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def version_metrics(claims: DataFrame) -> DataFrame:
     """(paper_version_id, metric statement): second factor."""
     return (
         claims.where(F.col("category").startswith("experiment.metric"))
-        .select("paper_version_id", F.substring("statement", 1, 120).alias("metric_statement"))
+        .select("paper_version_id", F.col("statement").alias("metric_statement"))
         .distinct()
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.operators import keyed
+from evidentia.session import cut_lineage
 
 
 def content_fingerprint(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
@@ -68,21 +69,53 @@ def resolve_title(docs: DataFrame, units: DataFrame) -> DataFrame:
     return joined.select("doc_id", title.alias("title"), rule.alias("title_rule"))
 
 
+def first_matches(offers: DataFrame) -> DataFrame:
+    """Greedy matching of DOIs and titles in order of arrival: doi, title, arrival.
+
+    ``offers``: doi, title, arrival (distinct pairs). A pair matches if neither side matched
+    earlier. In each round every pair that is the earliest left of both its sides is taken
+    and the other pairs of these sides go, until none is left; rounds grow with the length
+    of the longest chain of pairs that wait for each other.
+    """
+    left = cut_lineage(offers)
+    taken = left.limit(0)
+    while left.head(1):
+        by_doi = left.groupBy("doi").agg(F.min("arrival").alias("first_of_doi"))
+        by_title = left.groupBy("title").agg(F.min("arrival").alias("first_of_title"))
+        ranked = left.join(by_doi, "doi").join(by_title, "title")
+        chosen = cut_lineage(
+            ranked.where("arrival = first_of_doi AND arrival = first_of_title").select("doi", "title", "arrival")
+        )
+        taken = taken.unionByName(chosen)
+        left = cut_lineage(
+            left.join(chosen.select("doi"), "doi", "left_anti").join(chosen.select("title"), "title", "left_anti")
+        )
+    return taken
+
+
 def resolve_papers(docs: DataFrame, papers: DataFrame | None = None) -> DataFrame:
     """Paper of each document by DOI, else by normalized title, else a new one.
 
-    ``docs``: doc_id (arrival order), title, doi. Stored ``papers`` (paper_id, doi,
-    normalized_title) win. Inside the batch, documents with one DOI follow the first
-    of them, which itself resolves by title, as if documents arrived one by one.
+    ``docs``: doc_id (arrival order), title, doi; stored ``papers``: paper_id, doi,
+    normalized_title. As if documents arrived one by one: a paper takes the first DOI it
+    meets and keeps it, so a document that joins a paper by title does not give that paper
+    a second DOI, and a later one with its DOI alone may open a paper of its own.
     """
     named = docs.select("doc_id", "doi", X.normalize_title(F.col("title")).alias("normalized_title"))
-    leaders = (
+    offers = (
         named.where(F.col("doi").isNotNull())
-        .groupBy("doi")
-        .agg(F.min_by("normalized_title", "doc_id").alias("lead_title"))
+        .groupBy("doi", F.col("normalized_title").alias("title"))
+        .agg(F.min("doc_id").alias("arrival"))
     )
-    keyed = named.join(leaders, "doi", "left").withColumn(
-        "work_title", F.coalesce("lead_title", "normalized_title")
+    if papers is not None:
+        # A stored DOI is found at once, and a stored title that has one takes no other.
+        with_doi = papers.where(F.col("doi").isNotNull())
+        offers = offers.join(with_doi.select("doi"), "doi", "left_anti").join(
+            with_doi.select(F.col("normalized_title").alias("title")), "title", "left_anti"
+        )
+    owners = first_matches(offers).select("doi", F.col("title").alias("doi_title"), F.col("arrival").alias("doi_since"))
+    keyed = named.join(owners, "doi", "left").withColumn(
+        "work_title", F.when(F.col("doi_since") < F.col("doc_id"), F.col("doi_title")).otherwise(F.col("normalized_title"))
     )
     if papers is not None:
         by_doi = papers.where(F.col("doi").isNotNull()).groupBy("doi").agg(

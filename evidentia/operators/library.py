@@ -109,7 +109,8 @@ def library_page(
     scope: DataFrame, sort: str = "RECENT", offset: int = 0, limit: int = DEFAULT_PAGE
 ) -> DataFrame:
     """One page of papers plus one extra row, whose presence means there is more."""
-    limit = min(limit, MAX_PAGE)
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} papers")
     order = (
         [F.col("normalized_title"), F.col("paper_id")]
         if sort == "TITLE"
@@ -359,14 +360,15 @@ def compare_papers(claims: DataFrame, latest_versions: DataFrame) -> DataFrame:
 def compare_versions(claims: DataFrame, chosen: DataFrame) -> DataFrame:
     """Comparison grids: first claim per version and dimension, and comparability.
 
-    ``chosen``: comparison_id, paper_version_id (2 to 4 versions each). ``claims`` may
+    ``chosen``: comparison_id, paper_version_id. A comparison of fewer than 2 or more than 4
+    versions is refused: one row per version, without a dimension. ``claims`` may
     carry ``protocol_key``. A dimension is comparable when all versions of its
     comparison share one non-null key; missing cells say so and hold no value.
     """
     names = F.array(*[F.lit(name) for name, _ in DIMENSIONS])
-    sized = chosen.groupBy("comparison_id").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 4")
+    sized = chosen.join(chosen.groupBy("comparison_id").agg(F.count("*").alias("n")), "comparison_id")
     grid = (
-        chosen.join(sized, "comparison_id", "left_semi")
+        sized.where("n BETWEEN 2 AND 4")
         .select("comparison_id", "paper_version_id")
         .withColumn("dimension", F.explode(names))
     )
@@ -388,7 +390,13 @@ def compare_versions(claims: DataFrame, chosen: DataFrame) -> DataFrame:
         (F.countDistinct(F.coalesce("protocol_key", F.lit(""))) == 1).alias("same_key")
     )
     comparable = F.col("same_key") & F.col("protocol_key").isNotNull()
-    return cells.join(agreed, ["comparison_id", "dimension"]).select(
+    nothing = F.lit(None).cast("string")
+    refused = sized.where("n NOT BETWEEN 2 AND 4").select(
+        "comparison_id", "paper_version_id", nothing.alias("dimension"),
+        F.lit(None).cast(claims.schema["claim_id"].dataType).alias("claim_id"), nothing.alias("value"),
+        F.lit(False).alias("comparable"), F.lit("refused: a comparison has 2 to 4 versions").alias("reason"),
+    )
+    compared = cells.join(agreed, ["comparison_id", "dimension"]).select(
         "comparison_id",
         "paper_version_id",
         "dimension",
@@ -400,6 +408,7 @@ def compare_versions(claims: DataFrame, chosen: DataFrame) -> DataFrame:
         .when(F.col("protocol_key").isNull(), "no protocol key")
         .alias("reason"),
     )
+    return compared.unionByName(refused)
 
 
 def paper_summary(papers: DataFrame, versions: DataFrame, triage: DataFrame | None = None) -> DataFrame:
@@ -425,7 +434,7 @@ def paper_list(
     ids = page.select("paper_id")
 
     def mine(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(ids), "paper_id", "left_semi")  # a page: at most 101 rows
+        return df.join(ids, "paper_id", "left_semi")
 
     latest = keyed.latest_by(mine(versions), ["paper_id"], ["created_at", "paper_version_id"])
     tags = mine(paper_tags).groupBy("paper_id").agg(F.count("*").alias("tags"))
@@ -434,7 +443,7 @@ def paper_list(
     )
     best = takeaways(mine(claims)).select("paper_id", "claim_id", F.col("statement").alias("takeaway"))
     cited = (
-        links.join(F.broadcast(best.select("claim_id")), "claim_id", "left_semi")
+        links.join(best.select("claim_id"), "claim_id", "left_semi")
         .groupBy("claim_id")
         .agg(F.count("*").alias("takeaway_evidence"))
     )

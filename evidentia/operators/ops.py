@@ -336,8 +336,12 @@ def job_stages(tasks: DataFrame) -> DataFrame:
     )
 
 
+MAX_JOBS = 200
+
+
 def job_list(jobs: DataFrame, state: str | None = None, limit: int = 50) -> DataFrame:
-    limit = max(1, min(limit, 200))
+    if not 1 <= limit <= MAX_JOBS:
+        raise ValueError(f"a job list has 1 to {MAX_JOBS} rows")
     out = jobs if state is None else jobs.where(F.col("state") == state)
     return out.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(limit)
 
@@ -468,12 +472,18 @@ def trace_rows(events: DataFrame, runs: DataFrame, calls: DataFrame) -> DataFram
 
 
 def trace_timeline(events: DataFrame, runs: DataFrame, calls: DataFrame, limit: int = 1000) -> DataFrame:
-    """First ``limit`` rows of every trace in time order (a report, cut for display)."""
+    """First ``limit`` rows of every trace in time order, and whether the trace has more.
+
+    A report, cut for display; ``trace_rows`` has all rows.
+    """
     rows = trace_rows(events, runs, calls)
     item = F.struct("occurred_at", "event_id", "kind", "ref_id", "message").alias("item")
     top = keyed.top_k_items(rows.select("trace_id", item), ["trace_id"], "item", limit)
-    return top.select("trace_id", F.posexplode("items").alias("position", "item")).select(
-        "trace_id", "position", "item.*"
+    sizes = rows.groupBy("trace_id").agg((F.count("*") > limit).alias("truncated"))
+    return (
+        top.select("trace_id", F.posexplode("items").alias("position", "item"))
+        .join(sizes, "trace_id")
+        .select("trace_id", "position", "item.*", "truncated")
     )
 
 

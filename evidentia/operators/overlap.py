@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 def subject_key(tokens: Column) -> Column:
     """Stable name of a token set; tokens contain no blanks."""
-    return F.array_join(F.array_sort(tokens), " ")
+    return F.array_join(F.sort_array(tokens), " ")
 
 
 def required_overlap(size: Column) -> Column:

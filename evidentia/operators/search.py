@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,9 +15,8 @@ from evidentia.operators import keyed
 
 RRF_K = 60
 MAX_LIMIT = 200
-#: Query vectors travel to every task, so their number is bounded; larger sets are
-#: searched in several calls.
-MAX_QUERY_VECTORS = 1000
+#: Query vectors that travel to every task at once; more are searched block by block.
+QUERY_BLOCK = 1000
 WORD = r"[\p{L}\p{N}]+"
 
 # ---- projection ------------------------------------------------------------------
@@ -159,6 +158,13 @@ def entity_scope(relations: DataFrame, entities: DataFrame, filters: Filters) ->
     return ends.join(wanted, "entity_id", "left_semi").select("paper_id").distinct()
 
 
+def require_collections(collections: DataFrame, wanted: list) -> None:
+    """Raise if a wanted collection does not exist."""
+    known = {r[0] for r in collections.where(F.col("collection_id").isin(*wanted)).select("collection_id").collect()}
+    if missing := [c for c in wanted if c not in known]:
+        raise ValueError(f"unknown collection {missing[0]!r}")
+
+
 def search_scope(
     docs: DataFrame,
     filters: Filters,
@@ -168,8 +174,12 @@ def search_scope(
     tags: DataFrame | None = None,
     relations: DataFrame | None = None,
     entities: DataFrame | None = None,
+    collections: DataFrame | None = None,
 ) -> DataFrame:
-    """The documents every channel is limited to: all given filters at once."""
+    """The documents every channel is limited to: all given filters at once.
+
+    With ``collections`` given, an unknown collection is an error.
+    """
     out = docs
     for column, wanted in (
         ("document_type", filters.document_types),
@@ -194,6 +204,8 @@ def search_scope(
             dim = dim.where(F.col("section_id").isin(*filters.section_ids))
         out = out.join(dim.select("section_id"), "section_id", "left_semi")
     if filters.collection_ids is not None:
+        if collections is not None:
+            require_collections(collections, filters.collection_ids)
         dim = members.where(F.col("collection_id").isin(*filters.collection_ids))
         out = out.join(dim.select("paper_id"), "paper_id", "left_semi")
     if filters.tag_namespaces is not None or filters.tag_names is not None:
@@ -265,43 +277,40 @@ def fts(posts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
 # ---- vectors ---------------------------------------------------------------------
 
 
-def bounded_vectors(queries: DataFrame) -> tuple[list, np.ndarray]:
-    """Query ids and unit vectors, refused when there are more than the bound."""
-    rows = queries.where(F.col("vector").isNotNull()).select("query_id", "vector").limit(
-        MAX_QUERY_VECTORS + 1
-    ).collect()
-    if len(rows) > MAX_QUERY_VECTORS:
-        raise ValueError(f"search at most {MAX_QUERY_VECTORS} query vectors per call")
-    if not rows:
-        return [], np.zeros((0, 1))
-    matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-    return [r["query_id"] for r in rows], matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-
+def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and unit vectors of all queries, about ``block`` at a time."""
+    known = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
+    blocks = max(1, -(-known.count() // block))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    for i in range(blocks):
+        rows = known.where(place == i).collect()
+        if rows:
+            matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
+            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+            yield [r["query_id"] for r in rows], matrix / np.where(norms > 0, norms, 1)
 
-def semantic(docs: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """Best max(3 * limit, 20) documents per query by cosine, exact.
 
-    ``docs``: document_id, embedding; ``queries``: query_id, vector. Each Arrow batch
-    is scored by one matrix product and cut to the best k per query before anything
-    is shuffled.
-    """
-    k = max(3 * limit, 20)
-    ids, matrix = bounded_vectors(queries)
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    doc_type = docs.schema["document_id"].dataType.simpleString()
+def best_of_block(ids: list, matrix: np.ndarray, k: int):
+    """Scores each Arrow batch by one matrix product, cut to the best k per query."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch) or not ids:
+            if not len(batch):
                 continue
             vectors = np.array(batch["embedding"].tolist(), dtype=np.float64)
             norms = np.linalg.norm(vectors, axis=1)
             keep = norms > 0
             documents = batch["document_id"].to_numpy()[keep]
+            if not len(documents):
+                continue
             sims = np.round((vectors[keep] / norms[keep, None]) @ matrix.T, 6)
             parts = []
             for column, query_id in enumerate(ids):
-                order = np.lexsort((documents, -sims[:, column]))[:k]
+                near = np.arange(len(documents))
+                if len(documents) > k:  # all that tie with the k-th stay until documents order them
+                    least = -np.partition(-sims[:, column], k - 1)[k - 1]
+                    near = np.flatnonzero(sims[:, column] >= least)
+                order = near[np.lexsort((documents[near], -sims[near, column]))[:k]]
                 parts.append(
                     pd.DataFrame(
                         {
@@ -313,9 +322,26 @@ def semantic(docs: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
                 )
             yield pd.concat(parts)
 
-    best = docs.where(F.col("embedding").isNotNull()).select("document_id", "embedding").mapInPandas(
-        score, f"query_id {id_type}, document_id {doc_type}, similarity double"
-    )
+    return score
+
+
+def semantic(docs: DataFrame, queries: DataFrame, limit: int = 20, block: int = QUERY_BLOCK) -> DataFrame:
+    """Best max(3 * limit, 20) documents per query by cosine, exact.
+
+    ``docs``: document_id, embedding; ``queries``: query_id, vector. Queries go to the tasks
+    in blocks, each over all documents; only the best k of a batch are shuffled.
+    """
+    k = max(3 * limit, 20)
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    doc_type = docs.schema["document_id"].dataType.simpleString()
+    schema = f"query_id {id_type}, document_id {doc_type}, similarity double"
+    source = docs.where(F.col("embedding").isNotNull()).select("document_id", "embedding")
+    best = None
+    for ids, matrix in query_blocks(queries, block):
+        part = source.mapInPandas(best_of_block(ids, matrix, k), schema)
+        best = part if best is None else best.unionAll(part)
+    if best is None:
+        best = docs.sparkSession.createDataFrame([], schema)
     items = best.select(
         "query_id", F.struct((-F.col("similarity")).alias("o"), "document_id").alias("item")
     )
@@ -516,7 +542,7 @@ def search_documents(
     if kind not in presets:
         raise ValueError(f"unknown search kind {kind!r}")
     for name, value in presets[kind].items():
-        setattr(filters, name, value)
+        filters = replace(filters, **{name: value})
     scope = search_scope(docs, filters, **dims)
     graph = (
         graph_channel(scope, dims["relations"], dims["entities"], filters)

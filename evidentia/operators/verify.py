@@ -21,6 +21,8 @@ from evidentia.session import cut_lineage
 
 def prepare(claims: DataFrame) -> DataFrame:
     """Add tokens, numbers, subject and value keys used by every verifier."""
+    if "run_id" not in claims.columns and "created_by_run_id" in claims.columns:
+        claims = claims.withColumn("run_id", F.col("created_by_run_id"))
     return (
         claims.withColumn("tokens", X.significant_tokens(F.col("statement")))
         .withColumn("numbers", X.statement_numbers(F.col("statement")))
@@ -29,7 +31,19 @@ def prepare(claims: DataFrame) -> DataFrame:
     )
 
 
-def cited_facts(prepared: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
+def with_section_class(evidence: DataFrame, sections: DataFrame | None) -> DataFrame:
+    """Evidence with the class of its section: its own column, else from ``sections``, else null."""
+    if "section_class" in evidence.columns:
+        return evidence
+    if sections is None:
+        return evidence.withColumn("section_class", F.lit(None).cast("string"))
+    classes = sections.select("section_id", F.col("normalized_class").alias("section_class"))
+    return evidence.join(classes.dropDuplicates(["section_id"]), "section_id", "left")
+
+
+def cited_facts(
+    prepared: DataFrame, links: DataFrame, evidence: DataFrame, sections: DataFrame | None = None
+) -> DataFrame:
     """What the cited evidence says about each claim, one row per linked claim.
 
     Statement terms travel to the evidence, so evidence text is shuffled once and
@@ -37,7 +51,7 @@ def cited_facts(prepared: DataFrame, links: DataFrame, evidence: DataFrame) -> D
     statement, hence so is every collected set.
     """
     wanted = prepared.select("claim_id", "tokens", "numbers")
-    source = evidence.select(
+    source = with_section_class(evidence, sections).select(
         "evidence_id", "text", "source_method", "ocr_confidence", "section_class"
     ).withColumn("resolved", F.lit(True))
     rows = links.select("claim_id", "evidence_id").join(wanted, "claim_id").join(
@@ -96,9 +110,11 @@ def cited_facts(prepared: DataFrame, links: DataFrame, evidence: DataFrame) -> D
     )
 
 
-def with_facts(prepared: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
+def with_facts(
+    prepared: DataFrame, links: DataFrame, evidence: DataFrame, sections: DataFrame | None = None
+) -> DataFrame:
     """Prepared claims with their cited facts; claims without links keep zeros."""
-    facts = cited_facts(prepared, links, evidence)
+    facts = cited_facts(prepared, links, evidence, sections)
 
     def terms(kind: str) -> Column:
         tagged = F.filter(
@@ -401,7 +417,7 @@ def novelty_matches(
         (F.col("claim_type") != "EXTERNAL") & F.col("statement").rlike(X.NOVELTY)
     ).withColumn(
         "claim_tokens",
-        F.array_except(X.significant_tokens(F.substring("statement", 1, 500)), filler),
+        F.array_except(X.significant_tokens(F.col("statement")), filler),
     )
     known = works.withColumn("work_tokens", X.significant_tokens(F.col("title")))
     frequency = (
@@ -512,10 +528,16 @@ def verify(
     tier: str = "T3_DEEP",
     works: DataFrame | None = None,
     provenances: DataFrame | None = None,
+    papers: DataFrame | None = None,
+    sections: DataFrame | None = None,
 ) -> DataFrame:
-    """Run the verifiers of ``tier``; one row per claim and verifier."""
+    """Run the verifiers of ``tier``; one row per claim and verifier.
+
+    ``papers`` keeps a claim's own record from counting as known work; ``sections`` gives
+    the class of evidence that has only a section_id.
+    """
     prepared = prepare(claims)
-    facts = with_facts(prepared, links, evidence)
+    facts = with_facts(prepared, links, evidence, sections)
     wanted = tables.VERIFIERS[: tables.TIER_VERIFIER_COUNT[tier]]
     out = evidence_verdicts(facts, [name for name in wanted if name in EVIDENCE_ROWS])
     if "verification.contradiction" in wanted:
@@ -528,7 +550,7 @@ def verify(
         )
     if "verification.external_novelty" in wanted:
         silent = result(prepared, "external_novelty", F.lit("INCONCLUSIVE"), F.lit("no external source"))
-        out = out.unionByName(silent if works is None else novelty(prepared, works))
+        out = out.unionByName(silent if works is None else novelty(prepared, works, papers))
     if provenances is not None:
         # For metadata assertions the stored source replaces the evidence checks.
         replaced = [name for name in wanted if name in EXTERNAL_REPLACES]

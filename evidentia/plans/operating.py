@@ -216,7 +216,7 @@ def a19(t):
 
 @query("t4_job_list", f"WITH {JOBS} SELECT job_id, created_at FROM jobs WHERE state = 'RUNNING' ORDER BY created_at DESC, job_id DESC LIMIT 200")
 def t4(t):
-    return O.job_list(jobs(t), "RUNNING", 500).select("job_id", "created_at")
+    return O.job_list(jobs(t), "RUNNING", O.MAX_JOBS).select("job_id", "created_at")
 
 
 @query("w4_ready_queue", f"""
@@ -310,7 +310,13 @@ TRACE = """tr AS MATERIALIZED (SELECT conv_id % 7 AS trace_id, turn AS occurred_
 cut AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY occurred_at, event_id, kind, ref_id NULLS FIRST, message) - 1 AS position FROM tr)"""
 
 
-@query("t2_trace_timeline", f"WITH {TRACE} SELECT trace_id, position, occurred_at, event_id, kind, ref_id, message FROM cut WHERE position < 1000")
+@query("t2_trace_rows", f"WITH {TRACE} SELECT trace_id, occurred_at, event_id, kind, ref_id, message FROM cut")
+def t2_rows(t):
+    return O.trace_rows(*trace_inputs(t))
+
+
+@query("t2_trace_timeline", f"""WITH {TRACE}, n AS (SELECT trace_id, count(*) > 1000 AS truncated FROM cut GROUP BY trace_id)
+SELECT trace_id, position, occurred_at, event_id, kind, ref_id, message, truncated FROM cut JOIN n USING (trace_id) WHERE position < 1000""")
 def t2(t):
     return O.trace_timeline(*trace_inputs(t)).withColumn("position", F.col("position").cast("long"))
 
@@ -320,9 +326,9 @@ for _p, _r in __import__("evidentia.functions.text", fromlist=["SECRETS"]).SECRE
     _RED = f"regexp_replace({_RED}, {duck.quote(_p)}, {duck.quote(_r.replace('$1', chr(92) + '1'))}, 'g')"
 
 
-@query("t3_debug_bundle", f"WITH {TRACE} SELECT trace_id, 'event' AS part, {_RED} AS item FROM cut WHERE position < 1000")
+@query("t3_debug_bundle", f"WITH {TRACE} SELECT trace_id, 'event' AS part, {_RED} AS item FROM cut")
 def t3(t):
-    return O.debug_rows(O.trace_timeline(*trace_inputs(t)))
+    return O.debug_rows(O.trace_rows(*trace_inputs(t)))
 
 
 def bundle(t):

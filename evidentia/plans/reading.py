@@ -193,7 +193,7 @@ def t1(t):
 
 @query("t1_library_page_by_title", f"WITH {OP} SELECT paper_id, normalized_title FROM op ORDER BY normalized_title, paper_id LIMIT 101")
 def t1_title(t):
-    return L.library_page(order_papers(t), "TITLE", 0, 500).select("paper_id", "normalized_title")
+    return L.library_page(order_papers(t), "TITLE", 0, L.MAX_PAGE).select("paper_id", "normalized_title")
 
 
 @query("p8_claim_candidates", """

@@ -365,12 +365,16 @@ def d3(t):
     return titles(t)
 
 
-@query("d2_resolve_papers", f"""WITH {TITLE_UNITS},
-n AS MATERIALIZED (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN concat('10.1/', cast(n_chars AS string)) END AS doi,
-  trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize(title)), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS normalized_title FROM resolved),
-lead_doc AS (SELECT doi, arg_min(normalized_title, doc_id) AS lt FROM n WHERE doi IS NOT NULL GROUP BY doi)
-SELECT doc_id, n.doi, normalized_title, concat('pap_', substr(sha256(coalesce(lt, normalized_title)), 1, 32)) AS paper_id, 'batch' AS matched_by
-FROM n LEFT JOIN lead_doc ON n.doi = lead_doc.doi""")
+# Documents one by one, in order; the state is the map from each registered DOI to its paper's title.
+@query("d2_resolve_papers", f"""WITH RECURSIVE {TITLE_UNITS},
+n AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, CASE WHEN n_chars % 3 = 0 THEN concat('10.1/', cast(n_chars AS string)) END AS doi,
+  trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize(title)), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM resolved),
+step AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::VARCHAR AS work, MAP(['']::VARCHAR[], [NULL]::VARCHAR[]) AS dois
+  UNION ALL SELECT n.i, n.doc_id, coalesce(dois[n.doi], n.title),
+    CASE WHEN n.doi IS NULL OR dois[n.doi] IS NOT NULL OR list_contains(map_values(dois), n.title) THEN dois ELSE map_concat(dois, MAP([n.doi], [n.title])) END
+  FROM step JOIN n ON n.i = step.i + 1)
+SELECT n.doc_id, doi, title AS normalized_title, concat('pap_', substr(sha256(work), 1, 32)) AS paper_id, 'batch' AS matched_by
+FROM n JOIN step USING (i)""")
 def d2(t):
     docs = titles(t).join(t.documents.select("doc_id", "n_chars"), "doc_id").select(
         "doc_id",

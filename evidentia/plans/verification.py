@@ -178,7 +178,7 @@ def works(t):
 @query("v9_novelty", f"""
 WITH works AS MATERIALIZED (SELECT work_id, {duck.tokens('title')} AS wt FROM (SELECT p_partkey AS work_id,
   concat('part-', p_partkey, ' ', replace(p_name, ' ', '-'), '-', p_partkey) AS title FROM part) q),
-asserting AS MATERIALIZED (SELECT claim_id, list_filter({duck.tokens('substr(statement, 1, 500)')},
+asserting AS MATERIALIZED (SELECT claim_id, list_filter({duck.tokens('statement')},
   lambda w: NOT list_contains([{duck.in_list(verify.NOVELTY_FILLER)}], w)) AS ct
   FROM claims WHERE claim_type <> 'EXTERNAL' AND regexp_matches(statement, {duck.quote(X.NOVELTY)})),
 pairs AS (SELECT claim_id, work_id, count(*) AS shared, any_value(n) AS n
@@ -244,7 +244,7 @@ def v13(t):
 NOVEL = f"""
 works AS MATERIALIZED (SELECT work_id, {duck.tokens('title')} AS wt FROM (SELECT p_partkey AS work_id,
   concat('part-', p_partkey, ' ', replace(p_name, ' ', '-'), '-', p_partkey) AS title FROM part) q),
-asserting AS (SELECT claim_id, list_filter({duck.tokens('substr(statement, 1, 500)')},
+asserting AS (SELECT claim_id, list_filter({duck.tokens('statement')},
   lambda w: NOT list_contains([{duck.in_list(verify.NOVELTY_FILLER)}], w)) AS ct
   FROM claims WHERE claim_type <> 'EXTERNAL' AND regexp_matches(statement, {duck.quote(X.NOVELTY)})),
 novel AS MATERIALIZED (SELECT DISTINCT claim_id FROM (SELECT claim_id, work_id, count(*) AS shared, any_value(n) AS n

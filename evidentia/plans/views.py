@@ -364,7 +364,7 @@ def c2_edges(t):
     return V.genealogy_edges(t.relations, root=seed(t)).select("relation_id")
 
 
-DATASETS = f"""ds AS MATERIALIZED (SELECT *, coalesce({duck.subject('statement')}, substr(statement, 1, 60)) AS dataset FROM claims WHERE starts_with(category, 'experiment.dataset'))"""
+DATASETS = f"""ds AS MATERIALIZED (SELECT *, coalesce({duck.subject('statement')}, statement) AS dataset FROM claims WHERE starts_with(category, 'experiment.dataset'))"""
 
 
 @query("c3_dataset_landscape", f"""
@@ -377,7 +377,7 @@ def c3(t):
     return V.dataset_landscape(t.claims)
 
 
-@query("c3_version_metrics", "SELECT DISTINCT paper_version_id, substr(statement, 1, 120) AS metric_statement FROM claims WHERE starts_with(category, 'experiment.metric')")
+@query("c3_version_metrics", "SELECT DISTINCT paper_version_id, statement AS metric_statement FROM claims WHERE starts_with(category, 'experiment.metric')")
 def c3_metrics(t):
     return V.version_metrics(t.claims)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,25 +28,27 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster shares, for sinks and checkpoints."""
+def shared_base(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or else one below the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster shares, for sinks and checkpoints."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder the cluster names.
+    """Checkpoint ``df`` in the shared folder.
 
-    Iterative jobs call this once per round. The folder must survive the loss of
-    an executor, so it comes from ``spark.checkpoint.dir``; only a local master
-    without that setting (tests) falls back to a temporary folder.
+    Iterative jobs call this once per round. The files must survive the loss of an
+    executor, so they are never in a folder of one machine.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark))
+        context.setCheckpointDir(shared_base(spark))
     return df.checkpoint(eager=True)

@@ -13,9 +13,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(tables.schema_of(name)).parquet(f"{folder}/{name}")
 
 
-def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Extraction reports, one JSON object per line: (reports, unreadable lines)."""
-    raw = spark.read.text(path).select(
+def read_reports(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Extraction reports: (reports, unreadable texts).
+
+    A file holds one JSON object, indented or not, or with ``lines`` one object per line.
+    """
+    raw = spark.read.text(path, wholetext=not lines).select(
         F.col("value").alias("raw"), F.input_file_name().alias("file")
     )
     parsed = raw.withColumn(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +28,12 @@ def upsert_new(batch: DataFrame, path: str, keys: list[str]) -> None:
 
 def existing_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The Parquet table at ``path``, or no rows when it does not exist yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(hadoop):
+    try:
         return spark.read.schema(like.schema).parquet(path)
-    return spark.createDataFrame([], like.schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], like.schema)
 
 
 def delete_version(projection: DataFrame, versions: DataFrame) -> DataFrame:

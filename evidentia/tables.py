@@ -48,7 +48,8 @@ TABLES: dict[str, str] = {
     " level string, message string, data map<string,string>",
     "search_documents": "document_id string, document_type string, paper_id string,"
     " paper_version_id string, section_id string, evidence_type string, claim_type string,"
-    " support_state string, page_start int, content string, content_sha256 string,"
+    " category string, support_state string, page_start int, content string, index_text string,"
+    " content_sha256 string,"
     " embedding array<float>, embedding_model_id string",
     "entities": "entity_id string, entity_type string, canonical_name string,"
     " normalized_name string, aliases array<string>",
@@ -71,8 +72,8 @@ TABLES: dict[str, str] = {
     " created_at timestamp",
     "import_items": "item_id string, batch_id string, sha256 string, size_bytes bigint,"
     " state string, error_code string",
-    "provider_events": "provider string, model string, kind string, occurred timestamp,"
-    " status string, success boolean, value double, canary_state string,"
+    "provider_events": "event_id string, provider string, model string, kind string,"
+    " occurred timestamp, status string, success boolean, latency_ms double, canary_state string,"
     " circuit_breaker_state string",
 }
 
@@ -230,16 +231,102 @@ CATEGORY_RELATION = (
 
 TEXT_UNIT_TYPES = ("PARAGRAPH", "HEADING", "CAPTION", "REFERENCE", "EQUATION")
 
-STOP_WORDS = (
-    "that this with from have been were which their there than then them into such some more"
-    " most over under about after before between during through against without within also"
-    " both each other because while where these those very just only using used based"
-).split()
-
-GENERIC_CLAIM_TOKENS = (
-    "reaches reach reached accuracy accuracies performance result results method methods"
-    " achieves achieve achieved improves improve improved improvement better higher lower"
-    " using used based show shows shown report reports reported significant significantly"
-    " substantial substantially average overall score scores value values metric metrics"
-    " evaluation evaluate test tests training trained model models data"
-).split()
+STOP_WORDS = [
+    "that",
+    "this",
+    "with",
+    "from",
+    "have",
+    "been",
+    "were",
+    "which",
+    "their",
+    "there",
+    "than",
+    "then",
+    "them",
+    "into",
+    "such",
+    "some",
+    "more",
+    "most",
+    "over",
+    "under",
+    "about",
+    "after",
+    "before",
+    "between",
+    "during",
+    "through",
+    "against",
+    "without",
+    "within",
+    "also",
+    "both",
+    "each",
+    "other",
+    "because",
+    "while",
+    "where",
+    "these",
+    "those",
+    "very",
+    "just",
+    "only",
+    "using",
+    "used",
+    "based",
+]
+
+GENERIC_CLAIM_TOKENS = [
+    "reaches",
+    "reach",
+    "reached",
+    "accuracy",
+    "accuracies",
+    "performance",
+    "result",
+    "results",
+    "method",
+    "methods",
+    "achieves",
+    "achieve",
+    "achieved",
+    "improves",
+    "improve",
+    "improved",
+    "improvement",
+    "better",
+    "higher",
+    "lower",
+    "using",
+    "used",
+    "based",
+    "show",
+    "shows",
+    "shown",
+    "report",
+    "reports",
+    "reported",
+    "significant",
+    "significantly",
+    "substantial",
+    "substantially",
+    "average",
+    "overall",
+    "score",
+    "scores",
+    "value",
+    "values",
+    "metric",
+    "metrics",
+    "evaluation",
+    "evaluate",
+    "test",
+    "tests",
+    "training",
+    "trained",
+    "model",
+    "models",
+    "data",
+]

@@ -244,7 +244,14 @@ def test_reports_and_tables(spark, tmp_path):
     good = {"run_id": "r", "paper_version_id": "v", "page_count": 1, "pages": [{"page_number": 1, "mode": "SCANNED", "units": [unit]}]}
     path = tmp_path / "reports.json"
     path.write_text(json.dumps(good) + "\n{broken\n")
-    reports, bad = readers.read_reports(spark, str(path))
+    reports, bad = readers.read_reports(spark, str(path), lines=True)
+    assert bad.count() == 1
+    assert [(r["page"], r["text"]) for r in readers.report_units(reports).collect()] == [(1, "t")]
+    # One indented object per file, as they are stored.
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "a.json").write_text(json.dumps(good, indent=2))
+    (tmp_path / "whole" / "b.json").write_text("{\n broken")
+    reports, bad = readers.read_reports(spark, str(tmp_path / "whole"))
     assert bad.count() == 1
     assert [(r["page"], r["text"]) for r in readers.report_units(reports).collect()] == [(1, "t")]
     schema = C.schema_of("claims")
