@@ -160,22 +160,29 @@ def neighbors(
     """Breadth-first expansion from ``seeds`` (entity_id): (nodes, expanded edges).
 
     Nodes carry their distance; every node nearer than ``depth`` is expanded once and
-    lists its relations. Only new nodes enter the next round.
+    lists its relations. Only new nodes enter the next round; each round's are stored, so
+    the plan of a hop does not hold those of the hops before it.
     """
     if depth < 1:
         raise ValueError("depth must be at least 1")
     scoped = relations if types is None else relations.where(F.col("relation_type").isin(*types))
-    ends = both_ends(scoped)
-    visited = seeds.select("entity_id").distinct().withColumn("distance", F.lit(0))
+    steps = scoped.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("source_entity_id").alias("node"), F.col("target_entity_id").alias("other")),
+                F.struct(F.col("target_entity_id").alias("node"), F.col("source_entity_id").alias("other")),
+            )
+        ).alias("step")
+    ).select("step.*")
+    fresh = visited = cut_lineage(seeds.select("entity_id").distinct().withColumn("distance", F.lit(0)))
     for hop in range(1, depth + 1):
-        frontier = visited.where(F.col("distance") == hop - 1).select(F.col("entity_id").alias("node"))
-        reached = ends.join(frontier, "node", "left_semi").select(F.col("other").alias("entity_id")).distinct()
-        fresh = reached.join(visited.select("entity_id"), "entity_id", "left_anti").withColumn(
-            "distance", F.lit(hop)
+        frontier = fresh.select(F.col("entity_id").alias("node"))
+        reached = steps.join(frontier, "node", "left_semi").select(F.col("other").alias("entity_id")).distinct()
+        fresh = cut_lineage(
+            reached.join(visited.select("entity_id"), "entity_id", "left_anti").withColumn("distance", F.lit(hop))
         )
         visited = visited.unionByName(fresh)
-        if depth > 2:
-            visited = cut_lineage(visited)
+    ends = both_ends(scoped)
     expanded = visited.where(F.col("distance") < depth).select(F.col("entity_id").alias("node"))
     edges = ends.join(expanded, "node", "left_semi")
     return visited, edges
@@ -202,8 +209,8 @@ def capped_graph(
     shown = nodes.orderBy("distance", "entity_id").limit(max_nodes)
     ids = shown.select("entity_id")
     inside = relations.join(
-        F.broadcast(ids.withColumnRenamed("entity_id", "source_entity_id")), "source_entity_id", "left_semi"
+        ids.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id", "left_semi"
     ).join(
-        F.broadcast(ids.withColumnRenamed("entity_id", "target_entity_id")), "target_entity_id", "left_semi"
-    )  # at most max_nodes rows
+        ids.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id", "left_semi"
+    )
     return shown, inside.orderBy("relation_id").limit(max_edges)

@@ -77,20 +77,22 @@ def first_matches(offers: DataFrame) -> DataFrame:
     and the other pairs of these sides go, until none is left; rounds grow with the length
     of the longest chain of pairs that wait for each other.
     """
-    left = cut_lineage(offers)
-    taken = left.limit(0)
-    while left.head(1):
-        by_doi = left.groupBy("doi").agg(F.min("arrival").alias("first_of_doi"))
-        by_title = left.groupBy("title").agg(F.min("arrival").alias("first_of_title"))
-        ranked = left.join(by_doi, "doi").join(by_title, "title")
-        chosen = cut_lineage(
-            ranked.where("arrival = first_of_doi AND arrival = first_of_title").select("doi", "title", "arrival")
+    def marked(pairs: DataFrame) -> DataFrame:
+        by_doi = pairs.groupBy("doi").agg(F.min("arrival").alias("first_of_doi"))
+        by_title = pairs.groupBy("title").agg(F.min("arrival").alias("first_of_title"))
+        first = (F.col("arrival") == F.col("first_of_doi")) & (F.col("arrival") == F.col("first_of_title"))
+        return cut_lineage(
+            pairs.join(by_doi, "doi").join(by_title, "title").select("doi", "title", "arrival", first.alias("first"))
         )
-        taken = taken.unionByName(chosen)
-        left = cut_lineage(
-            left.join(chosen.select("doi"), "doi", "left_anti").join(chosen.select("title"), "title", "left_anti")
-        )
-    return taken
+
+    now = marked(offers)
+    taken = now.where("first")
+    while now.where("NOT first").head(1):
+        chosen = now.where("first")
+        left = now.where("NOT first").join(chosen.select("doi"), "doi", "left_anti")
+        now = marked(left.join(chosen.select("title"), "title", "left_anti").select("doi", "title", "arrival"))
+        taken = taken.unionByName(now.where("first"))
+    return taken.select("doi", "title", "arrival")
 
 
 def resolve_papers(docs: DataFrame, papers: DataFrame | None = None) -> DataFrame:

@@ -240,29 +240,40 @@ def postings(docs: DataFrame, text: str = "index_text") -> DataFrame:
     )
 
 
-def fts(posts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def fts(
+    docs: DataFrame, queries: DataFrame, text: str = "index_text", k1: float = 1.2, b: float = 0.75
+) -> DataFrame:
     """Documents that hold all words of a query, scored by BM25 and ranked per query.
 
-    ``queries``: query_id, query. Scores are rounded so that equal documents tie, and
-    ties are ordered by document. Ranks are exact for any number of matches.
+    ``docs``: document_id and ``text``; ``queries``: query_id, query. Only asked words are
+    counted and shuffled; document lengths are sizes of the word lists. Scores are rounded
+    so that equal documents tie, and ties are ordered by document. Ranks are exact for any
+    number of matches.
     """
     terms = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("terms")).select(
         "query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("token")
     )
-    lengths = posts.groupBy("document_id").agg(F.first("doc_len").alias("doc_len"))
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    tokens = docs.select("document_id", words(F.col(text)).alias("tokens")).withColumn("doc_len", F.size("tokens"))
+    corpus = tokens.where("doc_len > 0").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     asked = terms.select("token").distinct()
-    hits = posts.join(asked, "token", "left_semi")
+    hits = (
+        tokens.select("document_id", "doc_len", F.explode("tokens").alias("token"))
+        .join(asked, "token", "left_semi")
+        .groupBy("token", "document_id", "doc_len")
+        .agg(F.count("*").alias("tf"))
+    )
     frequency = hits.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
     )
+    figures = corpus.select(F.struct("n_docs", "avg_len")).scalar()
     scored = (
         hits.join(terms, "token")
         .join(frequency, "token")
-        .withColumn("n_docs", corpus.select("n_docs").scalar())
-        .withColumn("avg_len", corpus.select("avg_len").scalar())
+        .withColumn("corpus", figures)
+        .withColumn("n_docs", F.col("corpus.n_docs"))
+        .withColumn("avg_len", F.col("corpus.avg_len"))
         .groupBy("query_id", "document_id", "n_terms")
         .agg(F.count("*").alias("found"), F.round(F.sum(idf * weight), 6).alias("score"))
         .where(F.col("found") == F.col("n_terms"))
@@ -449,7 +460,7 @@ def hybrid_search(
         raise ValueError(f"limit must be 1 to {MAX_LIMIT}")
     vectors = "vector" in queries.columns and "embedding" in scope.columns
     ids = queries.select("query_id").distinct()
-    text_hits = fts(postings(scope, text), queries)
+    text_hits = fts(scope, queries, text)
     parts = text_hits.select(
         "query_id", "document_id", F.lit("fts").alias("channel"), (1.0 / (RRF_K + F.col("rank"))).alias("part")
     )

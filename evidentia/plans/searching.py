@@ -76,7 +76,7 @@ def queries(t):
 
 @query("q4_fts", f"WITH {FTS} SELECT query_id, document_id, score, rank FROM fts")
 def q4(t):
-    return S.fts(S.postings(documents(t)), queries(t))
+    return S.fts(documents(t), queries(t))
 
 
 SEMANTIC = """vec AS MATERIALIZED (SELECT vec_id AS document_id, list_transform(embedding, lambda x: cast(x AS double)) AS v FROM embeddings),

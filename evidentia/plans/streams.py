@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidentia import tables as C
 from evidentia.operators import identity as I
 from evidentia.plans.inputs import Tables
 from evidentia.plans.records import LINES
@@ -42,7 +43,15 @@ def st2(t):
     return finish(J.first_dispatches(keyed)).select(F.concat_ws("|", "provider", "kind", "slot").alias("dispatch"))
 
 
-@query("st3_task_steps")
+LEGAL = " OR ".join(f"(s.current = '{k}' AND e.state IN ({', '.join(repr(x) for x in v)}))" for k, v in C.TASK_TRANSITIONS.items())
+
+
+@query("st3_task_steps", f"""
+WITH RECURSIVE e AS (SELECT job_id AS task_id, task_id AS event_id, state, row_number() OVER (PARTITION BY job_id ORDER BY created_at, task_id) AS i FROM tasks),
+s AS (SELECT task_id, i, event_id, NULL::VARCHAR AS before, state AS after, true AS legal, state AS current, cast(state = 'RETRYING' AS integer) AS retries FROM e WHERE i = 1
+  UNION ALL SELECT e.task_id, e.i, e.event_id, s.current, e.state, ({LEGAL}), CASE WHEN {LEGAL} THEN e.state ELSE s.current END,
+    s.retries + cast(({LEGAL}) AND e.state = 'RETRYING' AS integer) FROM s JOIN e ON e.task_id = s.task_id AND e.i = s.i + 1)
+SELECT task_id, event_id, before, after, legal, retries FROM s""")
 def st3(t):
     tasks = live(t, "lineitem").tasks.select(
         F.col("job_id").alias("task_id"), F.col("task_id").alias("event_id"), F.col("created_at").alias("occurred"), "state"

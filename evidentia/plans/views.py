@@ -395,6 +395,42 @@ def c4_datasets(t):
     return V.paper_datasets(t.claims)
 
 
+# The data sets named first and last: a choice that the data give, whatever their size.
+CHOSEN = "(SELECT min(dataset) FROM ds UNION SELECT max(dataset) FROM ds)"
+
+
+def chosen_datasets(t):
+    names = V.dataset_claims(t.claims).agg(F.min("dataset"), F.max("dataset")).first()
+    return sorted({n for n in names if n is not None})
+
+
+@query("c3_dataset_metrics", f"""
+WITH {DATASETS} SELECT DISTINCT dataset, c.statement AS metric_statement FROM (SELECT DISTINCT dataset, paper_version_id FROM ds WHERE dataset IN {CHOSEN}) v
+JOIN claims c ON c.paper_version_id = v.paper_version_id WHERE starts_with(c.category, 'experiment.metric')""")
+def c3_of_datasets(t):
+    return V.dataset_metrics(t.claims, chosen_datasets(t))
+
+
+@query("c4_benchmark_cells", f"""
+WITH {DATASETS}, n AS (SELECT DISTINCT paper_id, dataset FROM ds),
+r AS (SELECT claim_id, paper_id, paper_version_id, {METRIC} AS metric, {duck.numbers('statement')} AS "values", support_state FROM claims
+  WHERE starts_with(category, 'result.') AND len({duck.numbers('statement')}) > 0)
+SELECT r.*, dataset FROM r JOIN n ON r.paper_id = n.paper_id WHERE dataset IN {CHOSEN}
+UNION ALL SELECT r.*, '(unspecified)' FROM r WHERE paper_id NOT IN (SELECT paper_id FROM ds)""")
+def c4_cells(t):
+    return V.benchmark_cells(t.claims, [*chosen_datasets(t), "(unspecified)"])
+
+
+@query("c9_collaborations", """
+WITH a AS (SELECT DISTINCT paper_id, target_entity_id AS author_id FROM relations WHERE relation_type = 'AUTHORED_BY'),
+top AS (SELECT author_id FROM a GROUP BY 1 ORDER BY count(*) DESC, author_id LIMIT 5)
+SELECT a.paper_id, a.author_id, b.author_id AS coauthor_id FROM a JOIN top USING (author_id) JOIN a b ON a.paper_id = b.paper_id WHERE a.author_id <> b.author_id""")
+def c9_pairs(t):
+    authored = V.authorships(t.relations, t.entities).select("paper_id", "author_id").distinct()
+    top = authored.groupBy("author_id").count().orderBy(F.desc("count"), "author_id").limit(5)
+    return V.collaborations(authored, top)
+
+
 DISAGREE = f"""
 uniq AS MATERIALIZED (SELECT paper_id, lower({duck.squeeze('statement')}) AS s, arg_min(claim_id, (created_at, claim_id)) AS claim_id, min(created_at) AS created_at,
   arg_min(statement, (created_at, claim_id)) AS statement, arg_min(support_state, (created_at, claim_id)) AS support_state,
