@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
@@ -160,13 +160,16 @@ def paper_dois(resolved: DataFrame, papers: DataFrame | None = None) -> DataFram
     )
 
 
-def version_labels(arrivals: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def version_labels(
+    arrivals: DataFrame, existing: DataFrame | None = None, bucket: Column | None = None
+) -> DataFrame:
     """Next free v1, v2, ... label for each new version of a paper, in arrival order.
 
-    ``arrivals``: paper_id, arrival; ``existing``: paper_id, version_label. Numbering
-    starts after the stored version count, as the store does, and skips taken labels.
+    ``arrivals``: paper_id, arrival (``bucket`` rises with it; its day if left out);
+    ``existing``: paper_id, version_label. Numbering starts after the stored version count, as the store does, and skips taken labels.
     """
-    numbered = keyed.number_in_key(arrivals, ["paper_id"], ["arrival"], F.to_date("arrival"), "k")
+    bucket = F.to_date("arrival") if bucket is None else bucket
+    numbered = keyed.number_in_key(arrivals, ["paper_id"], ["arrival"], bucket, "k")
     if existing is None:
         return numbered.select(
             "paper_id", "arrival", F.concat(F.lit("v"), F.col("k")).alias("version_label")

@@ -11,6 +11,7 @@ from evidentia.operators import structure as S
 from evidentia.plans import duck
 from evidentia.plans.records import LINES
 from evidentia.plans.registry import query
+from evidentia.session import shared_folder
 from evidentia.sources import readers
 
 PAGES = """pg AS MATERIALIZED (SELECT doc_id, text AS native_text, length(text) AS n,
@@ -330,30 +331,30 @@ def e10(t):
     return E.extraction_sanity(reports, numbers, units).select("paper_version_id", "outcome")
 
 
-@query("s2_report_units", f"WITH {OCR} SELECT paper_version_id, page, ordinal, text FROM b WHERE mode <> 'SCANNED'")
+@query("s2_report_units", f"""WITH {OCR} SELECT cast(paper_version_id AS varchar) AS paper_version_id, page, ordinal, text FROM b
+UNION ALL SELECT 'unreadable', NULL, count(DISTINCT paper_version_id), NULL FROM b""")
 def s2(t):
-    """Reports written as nested JSON text, parsed and flattened again."""
-    from evidentia import tables as C
-
+    """Reports written to files, one JSON object per line beside a broken line for each, and read back."""
     unit = F.struct(
         "unit_type", F.col("page").alias("page_number"), F.col("ordinal").cast("int").alias("ordinal"), "bbox", "text"
     )
     per_page = boxes(t).groupBy("paper_version_id", "page", "mode").agg(F.collect_list(unit).alias("units"))
     reports = per_page.groupBy("paper_version_id").agg(
-        F.bool_or(F.col("mode") == "SCANNED").alias("unreadable"),
         F.collect_list(F.struct(F.col("page").alias("page_number"), "mode", "units")).alias("pages")
     )
-    raw = reports.select(
-        F.when(
-            F.col("unreadable"), F.lit("{broken")
-        ).otherwise(
-            F.to_json(F.struct(F.lit("run").alias("run_id"), F.col("paper_version_id").cast("string").alias("paper_version_id"), "pages"))
-        ).alias("raw")
+    whole = F.to_json(
+        F.struct(F.lit("run").alias("run_id"), F.col("paper_version_id").cast("string").alias("paper_version_id"), "pages")
     )
-    parsed = raw.select(F.from_json("raw", C.REPORT).alias("report")).where("report.run_id IS NOT NULL").select("report.*")
-    return readers.report_units(parsed).select(
-        F.col("paper_version_id").cast("long").alias("paper_version_id"), "page", "ordinal", "text"
+    lines = reports.select(F.explode(F.array(whole, F.concat(F.lit("{broken "), "paper_version_id"))).alias("value"))
+    path = f"{shared_folder(t.spark)}/reports"
+    lines.write.text(path)
+    good, bad = readers.read_reports(t.spark, path, lines=True)
+    units = readers.report_units(good).select("paper_version_id", "page", F.col("ordinal").cast("long").alias("ordinal"), "text")
+    none = F.lit(None)
+    failed = bad.agg(F.count("*").alias("n")).select(
+        F.lit("unreadable").alias("paper_version_id"), none.cast("int").alias("page"), F.col("n").alias("ordinal"), none.cast("string").alias("text")
     )
+    return units.unionByName(failed)
 
 
 # ---- responses, redaction, metadata ----------------------------------------------------

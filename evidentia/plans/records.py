@@ -385,15 +385,19 @@ def d2(t):
 
 
 @query("d4_version_labels", """
-SELECT o_custkey AS paper_id, o_orderkey, concat('v', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS version_label FROM orders""")
+WITH a AS (SELECT o_custkey AS paper_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+x AS (SELECT o_custkey AS paper_id, count(*) AS stored, list(DISTINCT o_orderkey % 9 + 1) AS taken FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1)
+SELECT a.paper_id, o_orderkey, concat('v', list_filter(range(coalesce(stored, 0) + 1, coalesce(stored, 0) + k + 11), lambda n: NOT list_contains(coalesce(taken, []), n))[k]) AS version_label
+FROM a LEFT JOIN x ON a.paper_id = x.paper_id""")
 def d4(t):
     arrivals = t.orders.select(
         F.col("o_custkey").alias("paper_id"), F.struct("o_orderdate", "o_orderkey").alias("arrival")
     )
-    numbered = K.number_in_key(arrivals, ["paper_id"], ["arrival"], F.year("arrival.o_orderdate"), "k")
-    return numbered.select(
-        "paper_id", "arrival.o_orderkey", F.concat(F.lit("v"), F.col("k")).alias("version_label")
+    existing = t.orders.where("o_orderkey % 7 = 0").select(
+        F.col("o_custkey").alias("paper_id"), F.concat(F.lit("v"), F.col("o_orderkey") % 9 + 1).alias("version_label")
     )
+    labelled = I.version_labels(arrivals, existing, F.trunc("arrival.o_orderdate", "month"))
+    return labelled.select("paper_id", "arrival.o_orderkey", "version_label")
 
 
 @query("d5_import_report", """

@@ -137,9 +137,9 @@ def e21(t):
 
 @query("e22_check_vectors", """
 SELECT coalesce(doc_id, vec_id) AS document_id, CASE WHEN doc_id IS NULL THEN 'no_document' WHEN vec_id IS NULL THEN 'no_vector' ELSE 'wrong_dimension' END AS problem
-FROM (SELECT doc_id FROM documents WHERE lang <> 'de') d FULL JOIN embeddings e ON d.doc_id = e.vec_id WHERE doc_id IS NULL OR vec_id IS NULL OR len(embedding) <> 64""")
+FROM (SELECT doc_id + 100 AS doc_id FROM documents) d FULL JOIN embeddings e ON d.doc_id = e.vec_id WHERE doc_id IS NULL OR vec_id IS NULL OR len(embedding) <> 64""")
 def e22(t):
-    docs = t.documents.where("lang <> 'de'").select(F.col("doc_id").alias("document_id"))
+    docs = t.documents.select((F.col("doc_id") + 100).alias("document_id"))  # so both sides have rows alone
     return S.check_vectors(docs, t.embeddings.select(F.col("vec_id").alias("document_id"), "embedding"), 64)
 
 
@@ -203,25 +203,66 @@ def claim_queries(t):
     ).groupBy("query_id").agg(F.min_by("query", "p_partkey").alias("query"))
 
 
-@query("q8_search_claims", """
-WITH w AS MATERIALIZED (SELECT claim_id AS document_id, list_transform(regexp_extract_all(concat(category, ': ', statement), '[\\p{L}\\p{N}]+'), lambda w: lower(w)) AS ws FROM claims),
-posts AS MATERIALIZED (SELECT document_id, len(ws) AS doc_len, w AS token, count(*) AS tf FROM (SELECT document_id, ws, unnest(ws) AS w FROM w) q GROUP BY 1, 2, 3),
-terms AS (SELECT p_brand AS query_id, 2 AS n_terms, unnest(['part', cast(min(p_partkey) AS varchar)]) AS token FROM part GROUP BY 1),
-corpus AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_len FROM w), freq AS (SELECT token, count(*) AS df FROM posts GROUP BY 1),
+def preset_sql(where: str, gain: str = "0.0::double") -> str:
+    """Full-text search of the projected documents that ``where`` picks; ``gain`` is what the graph channel adds to each."""
+    return f"""WITH {PROJECTION}, picked AS MATERIALIZED (SELECT document_id, index_text FROM proj WHERE {where}),
+asked AS MATERIALIZED (SELECT p_brand AS query_id, 2 AS n_terms, unnest(['part', cast(min(p_partkey) AS varchar)]) AS token FROM part GROUP BY 1),
+w AS MATERIALIZED (SELECT document_id, list_transform(regexp_extract_all(index_text, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w)) AS ws FROM picked),
+posts AS MATERIALIZED (SELECT document_id, len(ws) AS doc_len, w AS token, count(*) AS tf FROM (SELECT document_id, ws, unnest(ws) AS w FROM w) q
+  WHERE w IN (SELECT token FROM asked) GROUP BY 1, 2, 3),
+corpus AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_len FROM w WHERE len(ws) > 0), freq AS (SELECT token, count(*) AS df FROM posts GROUP BY 1),
 scored AS (SELECT query_id, document_id, n_terms, count(*) AS found, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 6) AS score
-  FROM posts JOIN terms USING (token) JOIN freq USING (token) CROSS JOIN corpus GROUP BY 1, 2, 3),
+  FROM posts JOIN asked USING (token) JOIN freq USING (token) CROSS JOIN corpus GROUP BY 1, 2, 3),
 fts AS MATERIALIZED (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM scored WHERE found = n_terms),
-fill AS (SELECT p_brand AS query_id, claim_id AS document_id FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN (SELECT claim_id FROM claims ORDER BY claim_id LIMIT 50) c),
-total AS (SELECT query_id, document_id, round(max(s), 8) AS score FROM (SELECT query_id, document_id, 1.0::double / (60 + rank) AS s FROM fts UNION ALL SELECT query_id, document_id, 0.0 FROM fill) q GROUP BY 1, 2)
-SELECT query_id, document_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS position FROM total) q WHERE position <= 10""")
-def q8(t):
-    return S.search_documents(projection(t), claim_queries(t), "claims", 10).select(
+fill AS (SELECT p_brand AS query_id, document_id FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN (SELECT document_id FROM picked ORDER BY document_id LIMIT 50) c),
+total AS (SELECT query_id, document_id, round(max(s) + {gain}, 8) AS score FROM (SELECT query_id, document_id, 1.0::double / (60 + rank) AS s FROM fts UNION ALL SELECT query_id, document_id, 0.0 FROM fill) q GROUP BY 1, 2)
+SELECT query_id, document_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS position FROM total) q WHERE position <= 10"""
+
+
+def near_sql(kind: str) -> str:
+    return (
+        "cast(paper_id AS varchar) IN (SELECT cast(r.paper_id % 1000 AS varchar) FROM relations r JOIN entities e"
+        f" ON e.entity_id = r.source_entity_id OR e.entity_id = r.target_entity_id WHERE entity_type = '{kind}')"
+    )
+
+
+def preset(t, kind: str, filters: S.Filters | None = None):
+    return S.search_documents(projection(t), claim_queries(t), kind, 10, filters, **text_dims(t)).select(
         "query_id", "document_id", "score", "position"
     )
 
 
-@query("q8_search_methods")
+@query("q8_search_claims", preset_sql("document_type = 'CLAIM'"))
+def q8(t):
+    return preset(t, "claims")
+
+
+@query("q8_search_evidence", preset_sql("document_type = 'EVIDENCE'"))
+def q8_evidence(t):
+    return preset(t, "evidence")
+
+
+@query("q8_search_papers", preset_sql("document_type = 'PAPER'"))
+def q8_papers(t):
+    return preset(t, "papers")
+
+
+# The graph channel finds every scoped document at distance 1.
+@query("q8_search_methods", preset_sql(near_sql("METHOD"), "1.0::double / 62"))
 def q8_methods(t):
-    return S.search_documents(
-        projection(t), claim_queries(t), "methods", 10, **text_dims(t)
-    ).select("query_id", "document_id", "score", "position", "channels")
+    return preset(t, "methods")
+
+
+@query("q8_search_entities", preset_sql(near_sql("AUTHOR"), "1.0::double / 62"))
+def q8_entities(t):
+    return preset(t, "entities", S.Filters(entity_types=["AUTHOR"]))
+
+
+@query("q8_search_techniques", preset_sql(near_sql("METHOD"), "1.0::double / 62"))
+def q8_techniques(t):
+    """The given methods, stored as techniques."""
+    dims = text_dims(t)
+    kind = F.when(F.col("entity_type") == "METHOD", "TECHNIQUE").otherwise(F.col("entity_type"))
+    dims["entities"] = dims["entities"].withColumn("entity_type", kind)
+    found = S.search_documents(projection(t), claim_queries(t), "techniques", 10, **dims)
+    return found.select("query_id", "document_id", "score", "position")
