@@ -216,8 +216,8 @@ def family(text: bytes) -> int:
 def _features(words: list[bytes], column: np.ndarray, width: int, mapping: np.ndarray) -> np.ndarray:
     """Nyström features of each word."""
     out = []
-    for at in range(0, len(words), 2000):
-        units = Units([b" ".join(words[at : at + 2000])])
+    for at in range(0, len(words), 500):
+        units = Units([b" ".join(words[at : at + 500])])
         dense = np.zeros((len(units.words), width))
         for unit, feature, weight in subsequences(units):
             known = column[feature] >= 0
