@@ -90,4 +90,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND removed_words <= 0.5 * n_words AS kept, removed_words
 FROM judged"""
 
-SQL = {"op2_decontamination": DECONTAMINATION, "op9_chat_format": CHAT, "op10_line_frequency": LINES}
+REPEATS = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT r, doc_id, 500 * c + p AS p, substr(part, 2 * p + 1, 100) AS s
+  FROM (SELECT *, unnest(range(0, len(part) // 2 - 49)) AS p
+    FROM (SELECT r, doc_id, c, substr(h, 1000 * c + 1, 1098) AS part FROM (SELECT *, unnest(range(0, len(h) // 1000 + 1)) AS c FROM d)))
+), first_doc AS (
+  SELECT s, min(doc_id) AS m FROM w GROUP BY s
+), gone AS (
+  SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM w JOIN first_doc USING (s) WHERE m < doc_id
+), spans AS (
+  SELECT r, min(p) AS a, max(p) + 50 AS z
+  FROM (SELECT r, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM gone)
+  GROUP BY r, k
+), gaps AS (
+  SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM spans
+), figures AS (
+  SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last FROM spans GROUP BY r
+), heads AS (
+  SELECT r, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head FROM gaps JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN figures USING (r) LEFT JOIN heads USING (r)"""
+
+SQL = {
+    "op2_decontamination": DECONTAMINATION,
+    "op6_suffix_dedup": REPEATS,
+    "op9_chat_format": CHAT,
+    "op10_line_frequency": LINES,
+}
