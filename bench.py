@@ -14,6 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from evidentia.plans import catalog  # noqa: E402
+from evidentia.plans.inputs import READ_PARTITIONS  # noqa: E402
 from evidentia.session import build_session  # noqa: E402
 
 HEADLINE = (
@@ -47,6 +48,7 @@ def main() -> None:
         f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus if cpus.isdigit() else "8",
+            READ_PARTITIONS: cpus if cpus.isdigit() else "8",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
             "spark.ui.enabled": "false",
