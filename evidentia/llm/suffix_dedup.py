@@ -151,6 +151,7 @@ class Run:
         # By gram, equal contents together. (Grams alike in 44 bits may mix: that only splits entries.)
         order = np.argsort(grams >> np.uint64(20) << np.uint64(20) | common.mixed(content) >> np.uint64(44))
         self.grams, content = grams[order], content[order]
+        self.stretches = content >> np.uint64(32)
         self.lows, self.highs, self.at, self.docs = lows[order], highs[order], at[order], docs[order]
         # Entries: distinct (gram, content), but one alone for a gram that has more than SHOWN.
         n = len(order)
@@ -211,13 +212,24 @@ class Run:
         """Bucket of each entry; ascending, as the grams are."""
         return ((self.known >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-    def suffixes(self, codes: np.ndarray, partitions: int) -> dict[int, dict[bytes, list]]:
-        """By partition: string -> [smallest id, range of windows that count too, (document, start) of each occurrence]."""
+    def repeated(self) -> np.ndarray:
+        """Whether other documents of the run have the stretch of each anchor too."""
+        groups = _Groups(self.grams ^ common.mixed(self.stretches))
+        return groups.varies(self.ids[self.docs])
+
+    def suffixes(self, codes: np.ndarray, partitions: int, own: bool = False) -> dict[int, dict[bytes, list]]:
+        """By partition: string -> [smallest id, range of windows that count too, (document, start) of each occurrence].
+
+        With ``own``, stretches that only documents of this run share are in partition -1.
+        """
         out: dict[int, dict[bytes, list]] = {}
-        code = codes[self.entry] if len(self.entry) else np.zeros(0, np.uint8)
-        of = np.flatnonzero(code)  # a gram that is hot to this run has one entry: its occurrences all are
+        if not len(self.entry):
+            return out
+        code = codes[self.entry]
+        # A gram that is hot to this run has one entry: its occurrences all are.
+        of = np.flatnonzero((code > 0) | self.repeated()) if own else np.flatnonzero(code)
         code, low, high, at = code[of], self.lows[of], self.highs[of], self.at[of]
-        home = (self.grams[of] % np.uint64(partitions)).astype(np.int64)
+        home = np.where(code > 0, (self.grams[of] % np.uint64(partitions)).astype(np.int64), -1)
         # Windows that can be shared: with the left side alone, or the right, they end or begin near the gram.
         first = np.where(code & LEFT, low, np.maximum(low, at - SIDE + 1)) - low
         last = np.where(code & RIGHT, high, np.minimum(high, at + GRAM + SIDE - 1 - LENGTH)) - low + 1
@@ -375,36 +387,37 @@ def decoded(blob: bytes) -> Iterator[tuple[bytes, int, int, int, int]]:
 
 
 class Slice:
-    """A run's slice with the suffixes that start at counted windows of its stretches, in order."""
+    """A run's slice with the suffixes that start at counted windows of its stretches."""
 
     def __init__(self, blob: bytes):
         rows = list(decoded(blob))
-        strings, owners = [r[0] for r in rows], [r[2] for r in rows]
+        self.strings, self.owners = [r[0] for r in rows], [r[2] for r in rows]
         for string, _, owner, first, end in rows:
-            strings += [string[i : i + LENGTH] for i in range(first, end)]
-            owners += [owner] * (end - first)
-        if len(strings) > len(rows):
-            self.places = sorted(range(len(strings)), key=strings.__getitem__)
-            self.strings = [strings[i] for i in self.places]
-            self.owners = [owners[i] for i in self.places]
-            self.shared = None
-        else:
-            self.places = range(len(strings))
-            self.strings, self.owners, self.shared = strings, owners, [r[1] for r in rows]
-        self.bits = bytearray(len(strings))
+            self.strings += [string[i : i + LENGTH] for i in range(first, end)]
+            self.owners += [owner] * (end - first)
+        self.bits = bytearray(len(self.strings))
+        self.places: list[int] = []
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(hash, self.strings), dtype=np.int64, count=len(self.strings))
+
+    def sort(self, chosen: np.ndarray | None = None) -> None:
+        """Order the chosen suffixes (all if not given)."""
+        self.places = list(range(len(self.strings))) if chosen is None else chosen.tolist()
+        self.places.sort(key=self.strings.__getitem__)
 
     def stream(self) -> Iterator[tuple[bytes, int, int]]:
+        """(string, prefix shared with the one before, id) in order."""
         last = b""
-        for i, (string, owner) in enumerate(zip(self.strings, self.owners, strict=True)):
-            if self.shared is not None:
-                n = self.shared[i]
+        for place in self.places:
+            string = self.strings[place]
+            if string == last:
+                n = len(string)
             else:
                 n, most = 0, min(len(last), len(string))
-                if string == last:
-                    n = most
                 while n < most and last[n] == string[n]:
                     n += 1
-            yield string, n, owner
+            yield string, n, self.owners[place]
             last = string
 
 
@@ -473,7 +486,17 @@ def merged(streams: list[Iterator[tuple[bytes, int, int]]]) -> Iterator[tuple[by
 
 
 def settle(slices: list[Slice]) -> None:
-    """Sets the bits of all suffixes that a smaller doc_id has as well."""
+    """Sets the bits of all suffixes that a smaller doc_id has as well.
+
+    A suffix whose hash no other one has is equal to none and is not sorted.
+    """
+    hashes = [s.hashes() for s in slices]
+    _, group, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    shared_hash = count[group] > 1
+    at = 0
+    for s, own in zip(slices, hashes, strict=True):
+        s.sort(np.flatnonzero(shared_hash[at : at + len(own)]))
+        at += len(own)
     seen = [0] * len(slices)
     equal: list[tuple[int, int, int]] = []
 
@@ -563,9 +586,9 @@ def _remover(buckets: int, partitions: int, with_kept: bool):
             marks = np.zeros(len(run.text) + 1, dtype=np.int32)
             own = run.ids.tolist()
             starts, ends = [], []
-            for part, strings in run.suffixes(_codes(run, notes, buckets), partitions).items():
-                order = sorted(strings)
-                said = bits[part]
+            for part, strings in run.suffixes(_codes(run, notes, buckets), partitions, own=True).items():
+                order = sorted(strings) if part >= 0 else list(strings)
+                said = bits[part] if part >= 0 else np.zeros(len(order), dtype=np.uint8)
                 after = len(order)  # bits of windows follow those of strings
                 for string, elsewhere in zip(order, said[: len(order)].tolist(), strict=True):
                     least, (first, end), *places = strings[string]

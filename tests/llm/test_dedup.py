@@ -104,18 +104,19 @@ def brute_repeats(rows, length=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("run_bytes", [1 << 10, 1 << 16, suffix_dedup.RUN_BYTES])
-def test_repeats_equal_brute_force(make, some_documents, run_bytes):
+@pytest.mark.parametrize("run_bytes,parts", [(1 << 10, 3), (1 << 16, 3), (suffix_dedup.RUN_BYTES, 3), (suffix_dedup.RUN_BYTES, 1)])
+def test_repeats_equal_brute_force(make, some_documents, run_bytes, parts):
     rng = random.Random(run_bytes)
     phrase = "".join(rng.choice("abcdé ") for _ in range(70))
-    rows = list(some_documents[:60])
+    rows = list(some_documents)
     # Passages of all lengths around the limit at changing places, null and short texts, repeats inside one text.
     for i in range(60):
         cut = rng.randrange(20)
         filler = "".join(rng.choice("abc ") for _ in range(rng.randrange(40)))
         rows.append((1000 + i, filler + phrase[cut : cut + rng.randrange(40, 60)] + filler[::-1]))
     rows += [(2000, None), (2001, ""), (2002, phrase * 3), (2002, phrase * 2), (None, phrase), (None, phrase), (1, rows[0][1])]
-    found = suffix_dedup.remove_repeats(make(rows), with_kept=True, run_bytes=run_bytes).collect()
+    frame = make(rows).coalesce(parts)
+    found = suffix_dedup.remove_repeats(frame, with_kept=True, run_bytes=run_bytes).collect()
     got = []
     for r in found:
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
@@ -134,7 +135,10 @@ def test_merge_is_sorted_and_shares_prefixes():
         own = sorted({bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(0, 60))})
         runs.append(own)
     blobs = [suffix_dedup.front_coded(r, [i] * len(r), [(0, 0)] * len(r)) for i, r in enumerate(runs)]
-    streams = [suffix_dedup.Slice(b).stream() for b in blobs]
+    slices = [suffix_dedup.Slice(b) for b in blobs]
+    for s in slices:
+        s.sort()
+    streams = [s.stream() for s in slices]
     last, seen = b"", []
     for string, shared, owner, stream in suffix_dedup.merged(streams):
         common = next((i for i, (a, b) in enumerate(zip(last, string, strict=False)) if a != b), min(len(last), len(string)))
