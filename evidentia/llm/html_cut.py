@@ -30,7 +30,11 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import common
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+# Possessive, so that no page makes it go back: quotes count behind "=" alone.
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>\s*=\s*"[^"]*"|\s*=\s*'[^']*'|[^>])*+)>""", re.DOTALL
+)
+_UNFINISHED = re.compile(r"<[!?/a-zA-Z].*", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -129,14 +133,14 @@ def blocks(page: str) -> list[Block]:
 
     def text_until(end: int) -> None:
         nonlocal links
-        if end > at and not dropped:
-            piece = page[at:end]
+        piece = page[at:end]
+        if piece and not dropped:
             parts.append(piece)
             if link_depth:
                 links += len(piece)
 
-    at = 0
-    while m := _MARKUP.search(page, at):
+    at, limit = 0, page.rfind(">") + 1
+    while m := _MARKUP.search(page, at, limit):
         text_until(m.start())
         at = m.end()
         tag = (m[2] or "").lower()
@@ -175,6 +179,7 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else len(page)
+    page = page[:limit] + _UNFINISHED.sub("", page[limit:])
     text_until(len(page))
     flush()
     return out

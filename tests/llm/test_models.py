@@ -135,7 +135,16 @@ def test_main_text():
         "Another paragraph with enough words in it to be content."
     )
     for odd in (None, "", "<", "<p", "<!-- x", "<script>", "</div>", "<p></p>" * 50):
-        assert html_cut.main_text(odd) in ("", "<", "<p")
+        assert html_cut.main_text(odd) in ("", "<")
+    assert html_cut.main_text("<p title=don't class='a>b'>It's a long enough line, and it isn't cut at its signs.<p>") == (
+        "It's a long enough line, and it isn't cut at its signs."
+    )
+    assert html_cut.main_text("<p>A long enough sentence stands before what has no end. <a href='x" + " a='1'" * 5000) == (
+        "A long enough sentence stands before what has no end."
+    )
+    assert html_cut.main_text("<p>A long enough sentence stands here, with a sign < of its own. " + "<b " * 20000) == (
+        "A long enough sentence stands here, with a sign < of its own."
+    )
     deep = "<div>" * 3000 + "<p>" + "A long enough sentence in a deep page. " * 5 + "</p>"
     assert html_cut.main_text(deep).startswith("A long enough")
 
