@@ -27,13 +27,14 @@ def required_overlap(size: Column) -> Column:
 HOT = 64
 
 
-def overlap_edges(subjects: DataFrame, by: list[str] | None = None) -> DataFrame:
+def overlap_edges(subjects: DataFrame, by: list[str] | None = None, own: bool = True) -> DataFrame:
     """Ordered subject pairs with enough shared tokens for the left one.
 
     ``subjects`` holds ``by`` columns and ``subject``. A left set of n tokens that
     must share t of them has at least one shared token among any n - t + 1 of its
     tokens, so only those are probed, the most frequent tokens of the corpus last.
-    Returns ``by``, ``subject``, ``other``, ``shared``.
+    Returns ``by``, ``subject``, ``other``, ``shared``; with ``own`` also each subject that
+    meets its own rule with itself, which needs no join.
     """
     by = by or []
     sets = (
@@ -62,13 +63,32 @@ def overlap_edges(subjects: DataFrame, by: list[str] | None = None) -> DataFrame
     targets = words.withColumnRenamed("subject", "other")
     other_tokens = F.split("other", " ")
     first_probe = F.element_at(F.array_intersect("prefix", other_tokens), 1)
-    return (
+    pairs = (
         probes.join(targets, [*by, "token"])
+        .where(F.col("subject") != F.col("other"))
         .where(F.col("token") == first_probe)
         .withColumn("shared", F.array_intersect("tokens", other_tokens))
         .where(F.size("shared") >= F.col("need"))
         .select(*by, "subject", "other", "shared")
     )
+    if not own:
+        return pairs
+    alone = sets.where(F.size("tokens") >= need).select(
+        *by, "subject", F.col("subject").alias("other"), F.col("tokens").alias("shared")
+    )
+    return pairs.unionByName(alone)
+
+
+def meets_itself(subject: Column) -> Column:
+    """Whether a subject has the two tokens that its own rule asks for."""
+    return F.size(F.split(subject, " ")) >= 2
+
+
+def sociable(classes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """Keys of subjects that have a neighbour or several classes; all others have no rival."""
+    keys = [*by, "subject"]
+    several = classes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    return edges.select(*keys).unionByName(several).distinct()
 
 
 def representatives(rows: DataFrame, keys: list[str], order: list[str], differ: list[str]) -> DataFrame:
@@ -140,3 +160,25 @@ def earliest_unlike(
     for column in differ:
         candidates = candidates.where(F.col(column) != F.col(f"rep.{column}"))
     return candidates.groupBy(*keys, *differ).agg(F.min("rep").alias("rival"))
+
+
+def rivals(classes: DataFrame, edges: DataFrame, by: list[str], order: list[str], differ: list[str]) -> DataFrame:
+    """:func:`earliest_unlike` for edges without own ones.
+
+    Most subjects meet no other and have one class: only the rest is reduced to
+    representatives at all.
+    """
+    keys = [*by, "subject"]
+    rows = classes.select(*keys, *dict.fromkeys([*order, *differ]))
+    wanted = sociable(classes, edges, by)
+    own = rows.join(wanted, keys, "left_semi").where(meets_itself(F.col("subject")))
+    met = edges.select(*by, F.col("other").alias("subject")).distinct()
+    near = representatives(rows.join(met, keys, "left_semi"), keys, order, differ)
+    reach = edges.select(*keys, "other").join(near.withColumnRenamed("subject", "other"), [*by, "other"])
+    union = representatives(
+        own.unionByName(reach.select(*keys, "rep.*").select(*own.columns)), keys, order, differ
+    )
+    candidates = classes.select(*keys, *differ).distinct().join(union, keys)
+    for column in differ:
+        candidates = candidates.where(F.col(column) != F.col(f"rep.{column}"))
+    return candidates.groupBy(*keys, *differ).agg(F.min("rep").alias("rival"))

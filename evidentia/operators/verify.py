@@ -294,8 +294,8 @@ def claim_classes(prepared: DataFrame) -> DataFrame:
 
 
 def version_edges(classes: DataFrame) -> DataFrame:
-    """Overlapping subjects inside each version."""
-    return overlap.overlap_edges(classes, VERSION)
+    """Overlapping different subjects inside each version."""
+    return overlap.overlap_edges(classes, VERSION, own=False)
 
 
 def contradiction(
@@ -305,8 +305,7 @@ def contradiction(
     classes = claim_classes(prepared) if classes is None else classes
     edges = version_edges(classes) if edges is None else edges
     numbered = classes.where(F.col("numeric_key") != "")
-    reps = overlap.representatives(numbered, [*VERSION, "subject"], ORDER, ["numeric_key"])
-    rivals = overlap.earliest_unlike(numbered, edges, reps, VERSION, ["numeric_key"])
+    rivals = overlap.rivals(numbered, edges, VERSION, ORDER, ["numeric_key"])
     joined = prepared.join(rivals, [*VERSION, "subject", "numeric_key"], "left")
     return result(
         joined,
@@ -328,21 +327,24 @@ def consensus(
     edges = version_edges(classes) if edges is None else edges
     keys = [*VERSION, "subject"]
     # Claims of other runs = all claims of the overlapped subjects less the own run's.
-    at = classes.groupBy(*VERSION, F.col("subject").alias("other"), "run_id").agg(F.sum("n").alias("n"))
+    # A subject without neighbours and with one class has none, and is left out from the start.
+    wanted = overlap.sociable(classes, edges, VERSION)
+    at = classes.groupBy(*keys, "run_id").agg(F.sum("n").alias("n"))
+    beside = edges.select(*keys, "other").join(at.withColumnRenamed("subject", "other"), [*VERSION, "other"])
+    itself = at.join(wanted, keys, "left_semi").where(overlap.meets_itself(F.col("subject")))
     own = (
-        edges.select(*VERSION, "subject", "other")
-        .join(at, [*VERSION, "other"])
+        beside.select(*keys, "run_id", "n")
+        .unionByName(itself)
         .groupBy(*keys, "run_id")
         .agg(F.sum("n").alias("n_own"))
     )
     total = own.groupBy(*keys).agg(F.sum("n_own").alias("n_all"))
     numbered = classes.where(F.col("numeric_key") != "")
     differ = ["run_id", "numeric_key"]
-    reps = overlap.representatives(numbered, keys, ORDER, differ)
-    rivals = overlap.earliest_unlike(numbered, edges, reps, VERSION, differ)
+    rivals = overlap.rivals(numbered, edges, VERSION, ORDER, differ)
     per_class = (
         classes.select(*keys, *differ)
-        .join(total, keys, "left")
+        .join(total, keys)
         .join(own, [*keys, "run_id"], "left")
         .join(rivals, [*keys, *differ], "left")
         .withColumn("others", F.coalesce("n_all", F.lit(0)) - F.coalesce("n_own", F.lit(0)))
@@ -386,6 +388,8 @@ def falsification(
     pressed = (
         edges.select(*VERSION, "subject", "other")
         .join(critiques, [*VERSION, "other"])
+        .drop("other")
+        .unionByName(critiques.withColumnRenamed("other", "subject").where(overlap.meets_itself(F.col("subject"))))
         .groupBy(*VERSION, "subject")
         .agg(F.min("critique").alias("critique"))
     )
