@@ -143,6 +143,8 @@ def test_compare_versions(spark):
     )
     chosen = spark.createDataFrame([("x", "v1"), ("x", "v2"), ("alone", "v1")], "comparison_id string, paper_version_id string")
     got = {(r["paper_version_id"], r["dimension"]): (r["comparable"], r["reason"]) for r in library.compare_versions(claims, chosen).collect()}
+    # A comparison of one version is refused, in a row of its own.
+    assert got.pop(("v1", None)) == (False, "refused: a comparison has 2 to 4 versions")
     assert len(got) == 14 and got[("v1", "method")] == (True, None)
     assert got[("v1", "evidence")] == (False, "different protocols") and got[("v1", "problem")] == (False, "NOT_EXTRACTED")
 
