@@ -26,7 +26,7 @@ Repeated rows each get a row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,14 +150,14 @@ def members(rows: DataFrame) -> DataFrame:
     return prints.join(labelled.join(smallest, "root").select("fp", "root", "component_id"), "fp")
 
 
-def keep_first(documents: DataFrame) -> DataFrame:
-    """``documents`` with all their columns, one row of each component.
+def keep_first(documents: DataFrame, grouped: Callable[[DataFrame], DataFrame] = members) -> DataFrame:
+    """``documents`` with all their columns, one row of each component that ``grouped`` finds.
 
     The row of the smallest doc_id stays (null last); of several such rows the one with
     the smallest text hash, and one of rows that repeat it.
     """
     row = F.struct(F.xxhash64("doc_id", "text").alias("x"), F.hash("text", "doc_id").alias("y"))
-    found = members(documents.select("doc_id", "text", row.alias("row")))
+    found = grouped(documents.select("doc_id", "text", row.alias("row")))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("row"))
     first = found.groupBy("root").agg(F.min(rank).alias("first")).select("first.row")
     # How many rows repeat the one that stays: only those are shuffled with all columns again.
