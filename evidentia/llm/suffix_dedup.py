@@ -217,6 +217,11 @@ class Run:
         groups = _Groups(self.grams ^ common.mixed(self.stretches))
         return groups.varies(self.ids[self.docs])
 
+    def together(self, codes: np.ndarray) -> np.ndarray:
+        """Codes with the sides that any entry of the same stretch has, so that a string has one home."""
+        groups = _Groups(self.known ^ common.mixed(self.content >> np.uint64(32)))
+        return codes | groups.most(codes & LEFT) | groups.most(codes & RIGHT)
+
     def suffixes(self, codes: np.ndarray, partitions: int, own: bool = False) -> dict[int, dict[bytes, list]]:
         """By partition: string -> [smallest id, range of windows that count too, (document, start) of each occurrence].
 
@@ -225,7 +230,7 @@ class Run:
         out: dict[int, dict[bytes, list]] = {}
         if not len(self.entry):
             return out
-        code = codes[self.entry]
+        code = self.together(codes)[self.entry]
         # A gram that is hot to this run has one entry: its occurrences all are.
         of = np.flatnonzero((code > 0) | self.repeated()) if own else np.flatnonzero(code)
         code, low, high, at = code[of], self.lows[of], self.highs[of], self.at[of]
