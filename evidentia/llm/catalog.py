@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from evidentia.llm import (
     chat_format,
     checking_sql,
+    collocations,
     decontaminate,
     html_cut,
+    line_dedup,
     line_frequency,
     packing,
     secret_scan,
     simhash_dedup,
+    spelling,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -31,6 +34,9 @@ QUERIES = (
     packing.op8_packing,
     chat_format.op9_chat_format,
     line_frequency.op10_line_frequency,
+    line_dedup.op11_line_dedup,
+    collocations.op12_phrase_collocations,
+    spelling.op13_spelling_variants,
 )
 
 

@@ -116,9 +116,57 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
   sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN figures USING (r) LEFT JOIN heads USING (r)"""
 
+REPEATED_LINES = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT r, doc_id, i, parts[i] AS line, {_LOWER.replace("coalesce(text, '')", r"trim(parts[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM d)
+), keepers AS (
+  SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), kept AS (
+  SELECT r, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM lines LEFT JOIN keepers USING (k)
+  WHERE keeper IS NULL OR doc_id = keeper GROUP BY r
+)
+SELECT doc_id, len(parts)::BIGINT AS n_lines, (len(parts) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+PHRASES = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, {_LOWER} AS low FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(low, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), grams AS (
+  SELECT lang, m, w[i : i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+    FROM (SELECT lang, w, unnest(range(1, 6)) AS m FROM pieces WHERE len(w) > 0) WHERE len(w) >= m)
+), f AS (
+  SELECT lang, m, g, count(*) AS a FROM grams GROUP BY lang, m, g HAVING count(*) >= 100
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.m, c.g, c.a, k, x.a AS l, y.a AS r, n, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score
+  FROM (SELECT *, unnest(range(1, f.m)) AS k FROM f WHERE f.m > 1) c JOIN total USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : c.m]
+), inside AS (
+  SELECT DISTINCT lang, g FROM (
+    SELECT lang, g[i : i + s - 1] AS g, a AS longer
+    FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM f WHERE m > 2))
+  ) JOIN f USING (lang, g) WHERE longer >= a
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM cuts) WHERE o = 1
+), ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM best ANTI JOIN inside USING (lang, g)
+)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked
+) WHERE rank <= 2000"""
+
 SQL = {
     "op2_decontamination": DECONTAMINATION,
     "op6_suffix_dedup": REPEATS,
     "op9_chat_format": CHAT,
     "op10_line_frequency": LINES,
+    "op11_line_dedup": REPEATED_LINES,
+    "op12_phrase_collocations": PHRASES,
 }

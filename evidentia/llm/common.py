@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.session import cut_lineage
+from evidentia.session import cut_lineage, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +70,10 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """Hashes of the spans [start, end) from ``prefix_sums``; equal spans hash equally."""
     down = powers(len(sums))[1]
     return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
+def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """``df`` written once to the shared folder and read again: its rows stay the same on every use."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from evidentia.llm import common, decontaminate, packing, secret_scan, simhash_d
 
 def test_all_queries_are_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
 
