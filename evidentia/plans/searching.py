@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.operators import search as S
+from evidentia.operators import vector_index as VI
 from evidentia.plans import duck
 from evidentia.plans.registry import query
 
@@ -96,6 +97,41 @@ def q5(t):
     return S.semantic(docs, vector_queries(t), 20)
 
 
+def asked_vectors(t):
+    """Every hundredth vector is a query, against all vectors."""
+    return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def indexed(t):
+    docs = t.embeddings.select(F.col("vec_id").alias("document_id"), "embedding")
+    return VI.build(docs, VI.fit(docs))
+
+
+# The exact results of the index's queries; an index must find nine tenths of them.
+@query("q5_index_recall", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: cast(x AS double)) AS e FROM embeddings)
+SELECT q.vec_id AS query_id, least(60, (SELECT count(*) FROM v)) AS wanted, true AS enough FROM v q WHERE q.vec_id % 100 = 0""")
+def q5_recall(t):
+    exact = S.semantic(t.embeddings.select(F.col("vec_id").alias("document_id"), "embedding"), asked_vectors(t), 20)
+    counted = VI.recall(VI.search(indexed(t), asked_vectors(t), 20), exact)
+    # Nine tenths over all queries; a single query may have a few less.
+    overall = counted.agg((F.sum("hits") >= 0.9 * F.sum("wanted")).alias("enough"))
+    return counted.select("query_id", "wanted").withColumn("enough", overall.scalar())
+
+
+@query("q5_index_rows", "SELECT vec_id AS document_id FROM embeddings")
+def q5_rows(t):
+    """Every vector is in the index once."""
+    return indexed(t).codes.select(F.explode("ids").alias("document_id"))
+
+
+# Similarities of what the index finds are exact, and a query finds itself first.
+@query("q5_semantic_index", """
+SELECT vec_id AS query_id, vec_id AS document_id, 1.0::double AS similarity, 1 AS rank FROM embeddings WHERE vec_id % 100 = 0""")
+def q5_index(t):
+    return VI.search(indexed(t), asked_vectors(t), 20).where("rank = 1")
+
+
 @query("f10_cosine", """
 SELECT a.vec_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: cast(x AS double)), list_transform(b.embedding, lambda x: cast(x AS double))), 6) AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.label""")
