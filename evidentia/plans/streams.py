@@ -11,6 +11,7 @@ from evidentia.plans.records import LINES
 from evidentia.plans.registry import query
 from evidentia.session import shared_folder
 from evidentia.streaming import jobs as J
+from evidentia.streaming import stateful as SF
 
 
 def live(t, *names: str) -> Tables:
@@ -26,10 +27,38 @@ SELECT time_bucket(INTERVAL 5 MINUTE, occurred) AS window_start, provider, count
   count(*) FILTER (WHERE kind = 'attempt' AND status <> 'OK') / nullif(count(*) FILTER (WHERE kind = 'attempt'), 0) AS error_rate,
   count(*) FILTER (WHERE kind = 'schema' AND success) / nullif(count(*) FILTER (WHERE kind = 'schema'), 0) AS schema_pass_rate FROM provider_events GROUP BY 1, 2""")
 def st1(t):
-    return finish(J.provider_health(stamped(live(t, "events").provider_events)), "complete").drop(
-        "latency_p50", "latency_p90"
+    return rolling(t).drop("latencies", "latency_p50", "latency_p90")
+
+
+def rolling(t, slide: str | None = None):
+    panes = J.provider_panes(stamped(live(t, "events").provider_events))
+    stored = J.run_keyed(panes, shared_folder(t.spark), ["pane_start", "provider"])
+    return J.rolling_health(stored, "5 minutes", slide)
+
+
+# A sketch may miss the asked rank by this share of a window's values.
+RANK_ERROR = 0.03
+
+
+@query("st1_sliding_quantiles", """
+SELECT window_start, provider, count(*) AS latencies, true AS p50_within, true AS p90_within
+FROM (SELECT provider, kind, unnest(range(5)) AS k, time_bucket(INTERVAL 1 MINUTE, occurred) AS pane FROM provider_events WHERE kind = 'latency') q,
+  LATERAL (SELECT pane - k * INTERVAL 1 MINUTE AS window_start) w GROUP BY 1, 2""")
+def st1_sliding(t):
+    """Merged sketches against the latencies themselves: is each quantile within the rank error?"""
+    health = rolling(t, "1 minute").where("latencies > 0")
+    events = stamped(t.provider_events).where("kind = 'latency'").select("provider", F.window("occurred", "5 minutes", "1 minute").start.alias("window_start"), "latency_ms")
+    seen = health.join(events, ["provider", "window_start"]).groupBy("window_start", "provider", "latencies", "latency_p50", "latency_p90").agg(
+        *[F.count_if(F.col("latency_ms") < F.col(q)).alias(f"{q}_below") for q in ("latency_p50", "latency_p90")],
+        *[F.count_if(F.col("latency_ms") <= F.col(q)).alias(f"{q}_upto") for q in ("latency_p50", "latency_p90")],
     )
 
+    def within(name: str, q: float):
+        low, high = F.col(f"latency_{name}_below") / F.col("latencies"), F.col(f"latency_{name}_upto") / F.col("latencies")
+        return ((low <= q + RANK_ERROR) & (high >= q - RANK_ERROR)).alias(f"{name}_within")
+
+    return seen.select("window_start", "provider", "latencies", within("p50", 0.5), within("p90", 0.9))
+
 
 def stamped(events):
     """Event time as a timestamp with time zone, which watermarks need."""
@@ -54,22 +83,37 @@ s AS (SELECT task_id, i, event_id, NULL::VARCHAR AS before, state AS after, true
 SELECT task_id, event_id, before, after, legal, retries FROM s""")
 def st3(t):
     tasks = live(t, "lineitem").tasks.select(
-        F.col("job_id").alias("task_id"), F.col("task_id").alias("event_id"), F.col("created_at").alias("occurred"), "state"
+        F.col("job_id").alias("task_id"), F.col("task_id").alias("event_id"), F.col("created_at").cast("timestamp").alias("occurred"), "state"
     )
-    return finish(J.task_steps(tasks))
+    with SF.rocksdb_state(t.spark):
+        return finish(SF.task_steps(tasks))
 
 
 @query("st4_worker_freshness", """
 WITH b AS (SELECT provider AS identity, max(epoch_us(occurred) / 1000000.0) AS last_seen FROM provider_events GROUP BY 1)
 SELECT identity, round(last_seen, 3) AS last_seen, CASE WHEN 1706658900.0 - last_seen <= 60 THEN 'FRESH' ELSE 'STALE' END AS state FROM b WHERE greatest(0, 1706658900.0 - last_seen) <= 86400""")
 def st4(t):
-    beats = stamped(live(t, "events").provider_events).select(
-        F.col("provider").alias("identity"), (F.unix_micros("occurred") / 1000000.0).alias("last_seen")
-    )
-    latest = finish(J.last_beats(beats), "complete")
+    latest = changes(t).groupBy("identity").agg(F.max("last_seen").alias("last_seen"))
     return J.worker_freshness(latest, 1706658900.0).select("identity", F.round("last_seen", 3).alias("last_seen"), "state")
 
 
+def changes(t):
+    """Changes of worker states, with the time of the beats as the clock."""
+    beats = stamped(live(t, "events").provider_events).withWatermark("occurred", "0 seconds").select(
+        F.col("provider").alias("identity"), (F.unix_micros("occurred") / 1000000.0).alias("last_seen"), "occurred"
+    )
+    with SF.rocksdb_state(t.spark):
+        return finish(SF.worker_states(beats, "EventTime"))
+
+
+@query("st4_worker_changes", """
+WITH b AS (SELECT provider AS identity, max(epoch_ms(occurred)) AS seen FROM provider_events GROUP BY 1),
+a AS (SELECT identity, (SELECT max(seen) FROM b) - seen AS age FROM b)
+SELECT identity, 'FRESH' AS state FROM a UNION ALL SELECT identity, CASE WHEN age > 86400000 THEN 'GONE' ELSE 'STALE' END FROM a WHERE age > 60000""")
+def st4_changes(t):
+    return changes(t).select("identity", "state")
+
+
 @query("st5_trace_sessions", """
 WITH e AS (SELECT provider AS trace_id, occurred, CASE WHEN occurred - lag(occurred) OVER w >= INTERVAL 30 MINUTE OR lag(occurred) OVER w IS NULL THEN 1 ELSE 0 END AS opens
   FROM provider_events WINDOW w AS (PARTITION BY provider ORDER BY occurred)),

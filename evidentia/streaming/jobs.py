@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evidentia import tables
 from evidentia.operators import evidence as E
+from evidentia.operators import keyed
 from evidentia.sources import readers, writers
 
 FRESH_SECONDS = 60
@@ -50,6 +52,58 @@ def provider_health(
     )
 
 
+def provider_panes(events: DataFrame, pane: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """Counts and a latency sketch per provider and short pane, to be merged into any window.
+
+    pane_start, provider, attempts, errors, schemas, schema_ok, latencies, sketch (KLL; null
+    without latencies). State is one small row per open pane.
+    """
+    kind = F.col("kind")
+    latency = F.when(kind == "latency", F.col("latency_ms").cast("double"))
+    return (
+        events.withWatermark("occurred", late)
+        .groupBy(F.window("occurred", pane), "provider")
+        .agg(
+            F.count_if(kind == "attempt").alias("attempts"),
+            F.count_if((kind == "attempt") & (F.col("status") != "OK")).alias("errors"),
+            F.count_if(kind == "schema").alias("schemas"),
+            F.count_if((kind == "schema") & F.col("success")).alias("schema_ok"),
+            F.count(latency).alias("latencies"),
+            F.kll_sketch_agg_double(latency).alias("sketch"),
+        )
+        .select(
+            F.col("window.start").alias("pane_start"), "provider", "attempts", "errors", "schemas", "schema_ok",
+            "latencies", F.when(F.col("latencies") > 0, F.col("sketch")).alias("sketch"),
+        )
+    )
+
+
+def rolling_health(panes: DataFrame, window: str = "5 minutes", slide: str | None = None) -> DataFrame:
+    """Health per provider and window from ``provider_panes``; ``window`` and ``slide`` are whole panes.
+
+    Counts add up and sketches merge, so a window never goes back to the events.
+    """
+    placed = panes.withColumn("window", F.window("pane_start", window, slide))
+    merged = placed.groupBy(F.col("window.start").alias("window_start"), "provider").agg(
+        *[F.sum(c).alias(c) for c in ("attempts", "errors", "schemas", "schema_ok", "latencies")],
+        F.kll_merge_agg_double("sketch").alias("sketch"),
+    )
+
+    def quantile(q: float):
+        return F.when(F.col("latencies") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+
+    return merged.select(
+        "window_start",
+        "provider",
+        "attempts",
+        F.when(F.col("attempts") > 0, F.col("errors") / F.col("attempts")).alias("error_rate"),
+        F.when(F.col("schemas") > 0, F.col("schema_ok") / F.col("schemas")).alias("schema_pass_rate"),
+        "latencies",
+        quantile(0.5).alias("latency_p50"),
+        quantile(0.9).alias("latency_p90"),
+    )
+
+
 def first_dispatches(dispatches: DataFrame, late: str = "1 hour") -> DataFrame:
     """The first dispatch of each idempotency key within the watermark."""
     return dispatches.withWatermark("occurred", late).dropDuplicatesWithinWatermark(["idempotency_key"])
@@ -157,6 +211,37 @@ def ingest(docs: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQ
     )
 
 
+def start_keyed(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Write the changed rows of every batch to a folder of that batch; a repeated batch replaces its own.
+
+    Update mode: the state holds open windows only, and a batch writes only what it changed.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    return (
+        stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode("update")
+        .foreachBatch(write)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_keyed(spark: SparkSession, stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """The newest row of every key that ``start_keyed`` wrote."""
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(f"{folder}/out")
+    return keyed.latest_by(rows, keys, ["batch"]).drop("batch")
+
+
+def run_keyed(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Process all available input in update mode and return the newest row of every key."""
+    start_keyed(stream, folder).awaitTermination()
+    return read_keyed(stream.sparkSession, stream, folder, keys)
+
+
 def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Process all available input and return the sink's final content."""
     spark = stream.sparkSession
