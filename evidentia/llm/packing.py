@@ -12,13 +12,17 @@ Ranks come from counts per (length, bucket) and a numbering inside each bucket,
 length that a third of all pieces share is ranked by many tasks.
 
 Null text is an empty text: its only token is the end id. Repeated rows and null ids are
-documents of their own.
+documents of their own. Pieces of one length are alike for the packing, so ties may fall
+either way between runs; every id is still in exactly one piece. A very long text is
+tokenised whole by one task and becomes many pieces. Other columns are ignored. Empty
+tables give no pieces.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -49,13 +53,25 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: White space other than a space or a line break, and all that Python alone takes for white space.
+_ODD = re.compile(r"[^\S \n]")
+_EDGES = ("", " ", "\n")
+
+
+def evenly_spaced(text: str) -> bool:
+    """Whether all white space of ``text`` is one space or one line break between other characters."""
+    if text[:1] in _EDGES or text[-1:] in _EDGES or _ODD.search(text):
+        return False
+    return not any(pair in text for pair in ("  ", " \n", "\n ", "\n\n"))
+
+
 class Encoder:
     """Ids of a byte-level BPE file, as little-endian unsigned 32-bit values.
 
-    Text is cut before single spaces and line breaks between words. No pre-token of this
-    tokeniser's pattern crosses such a place, so the chunks are encoded one by one and
-    remembered. Texts with other white space, or with a special token's string, are
-    encoded whole by the tokeniser itself.
+    A text whose white space is single spaces and line breaks between other characters is
+    cut before each of them. No pre-token of this tokeniser's pattern crosses such a place,
+    so the chunks are encoded one by one and remembered. Texts with any other white space
+    are encoded whole; those with a special token's string by the tokeniser itself.
     """
 
     def __init__(self, path: str):
@@ -76,7 +92,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if not evenly_spaced(text):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
         first, *rest = text.replace("\n", " \n").split(" ")
         head = np.array(self.fast.encode_ordinary(first), dtype="<u4").tobytes()
