@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidentia.operators import postings_index as PI
 from evidentia.operators import search as S
 from evidentia.operators import vector_index as VI
 from evidentia.plans import duck
@@ -80,6 +81,30 @@ def q4(t):
     return S.fts(documents(t), queries(t))
 
 
+def short_queries(t):
+    """The first two words of every benchmark text, which many documents have."""
+    two = F.array_join(F.slice(S.words(F.col("text")), 1, 2), " ")
+    return t.benchmark.select(F.col("item_id").alias("query_id"), two.alias("query"))
+
+
+SHORT = FTS.replace("FROM benchmark", "FROM (SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w: lower(w))[1:2], ' ') AS text FROM benchmark) s")
+
+
+@query("q4_index_top", f"WITH {SHORT} SELECT query_id, document_id, score, rank FROM fts WHERE rank <= 20")
+def q4_top(t):
+    return PI.top(PI.build(documents(t), shard_size=64), short_queries(t), 20)
+
+
+@query("q4_index_matches", f"WITH {FTS} SELECT query_id, document_id, score, rank FROM fts")
+def q4_matches(t):
+    return PI.matches(PI.build(documents(t)), queries(t))
+
+
+@query("q3_index_words", f"WITH {POSTS} SELECT token, count(*) AS df FROM posts GROUP BY 1")
+def q3_words(t):
+    return PI.build(documents(t)).words.select("token", "df")
+
+
 SEMANTIC = """vec AS MATERIALIZED (SELECT vec_id AS document_id, list_transform(embedding, lambda x: cast(x AS double)) AS v FROM embeddings),
 sims AS (SELECT b.item_id AS query_id, d.document_id, round(list_cosine_similarity(d.v, q.v), 6) AS similarity
   FROM benchmark b JOIN vec q ON q.document_id = b.item_id CROSS JOIN vec d),
