@@ -129,3 +129,40 @@ def st6(t):
     folder = shared_folder(t.spark)
     J.ingest(live(t, "documents").documents, f"{folder}/evidence", f"{folder}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{folder}/evidence").select("paper_version_id", "page_number", "content_sha256")
+
+
+CONTENT = f"""WITH {LINES}, found AS (SELECT DISTINCT sha256(d.text) AS paper_version_id, cast(1 + floor(ordinal / 40) AS integer) AS page_number, sha256(line) AS content_sha256, line
+  FROM lines l JOIN documents d ON d.doc_id = l.doc_id)"""
+
+
+def ingested(t) -> J.Store:
+    """All documents through the three sinks; then the last batch once more, as after a failure."""
+    folder = shared_folder(t.spark)
+    store = J.Store.at(t.spark, f"{folder}/store", 16)
+    J.ingest_chain(live(t, "documents").documents, store, f"{folder}/checkpoint").awaitTermination()
+    store.ingest(t.documents, "b0")
+    store.ingest(t.documents, "again")
+    return store
+
+
+@query("st6_chain_evidence", f"{CONTENT} SELECT paper_version_id, page_number, content_sha256 FROM found")
+def st6_evidence(t):
+    return ingested(t).evidence.rows().select("paper_version_id", "page_number", "content_sha256")
+
+
+@query("st6_chain_projection", f"""{CONTENT} SELECT 'EVIDENCE' AS document_type, paper_version_id, page_number AS page_start, line AS content, content_sha256 FROM found WHERE length(trim(line)) > 0""")
+def st6_projection(t):
+    return ingested(t).projection.rows().select("document_type", "paper_version_id", "page_start", "content", "content_sha256")
+
+
+@query("s6_keyed_append", "SELECT sha256(text) AS content_sha256, cast(min(cast(doc_id AS varchar)) AS varchar) AS doc_id FROM documents GROUP BY 1")
+def s6_keyed(t):
+    """Documents sent in two overlapping batches and once more are stored once each."""
+    folder = shared_folder(t.spark)
+    store = J.Store.at(t.spark, folder, 16)
+    named = t.documents.select(F.sha2("text", 256).alias("content_sha256"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    first = named.groupBy("content_sha256").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("content_sha256", "d.*")
+    store.documents.append(first.where("content_sha256 < 'a'"), "one")
+    store.documents.append(first.where("content_sha256 > '5'"), "two")
+    store.documents.append(named, "all")
+    return store.documents.rows().select("content_sha256", "doc_id")

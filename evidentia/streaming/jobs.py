@@ -7,6 +7,7 @@ query), and gives on finished input what the matching batch operator gives.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evidentia import tables
 from evidentia.operators import evidence as E
-from evidentia.operators import keyed
+from evidentia.operators import keyed, search
 from evidentia.sources import readers, writers
+from evidentia.sources.keyed_table import KeyedTable
 
 FRESH_SECONDS = 60
 RETENTION_SECONDS = 86400
@@ -211,6 +213,71 @@ def ingest(docs: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQ
     )
 
 
+#: What the documents of an ingest are kept as: content, and the first document that had it.
+DOCUMENTS = T.StructType([T.StructField(n, T.StringType()) for n in ("content_sha256", "doc_id", "text")])
+
+
+@dataclass(frozen=True)
+class Store:
+    """The three sinks of an ingest: documents by content, their evidence, the search projection."""
+
+    documents: KeyedTable
+    evidence: KeyedTable
+    projection: KeyedTable
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str, slots: int = 64) -> Store:
+        one = spark.createDataFrame([], "doc_id string, text string")
+        evidence = evidence_of(one).schema
+        projection = search.build_projection(*projection_inputs(spark.createDataFrame([], evidence))).schema
+
+        def table(name: str, schema: T.StructType, keys: str, slot_by: str) -> KeyedTable:
+            return KeyedTable(spark, f"{path}/{name}", schema, (keys,), (slot_by,), slots)
+
+        return cls(
+            table("documents", DOCUMENTS, "content_sha256", "content_sha256"),
+            table("evidence", evidence, "evidence_id", "paper_version_id"),
+            table("projection", projection, "document_id", "paper_version_id"),
+        )
+
+    def ingest(self, docs: DataFrame, commit: str) -> None:
+        """One batch through all sinks; each takes what its predecessor committed under this name.
+
+        A batch that stopped between two sinks is sent again under its name: sinks that have it
+        do nothing, the others see the same rows as before.
+        """
+        named = docs.where(F.col("text").isNotNull()).select(
+            F.sha2("text", 256).alias("content_sha256"), F.col("doc_id").cast("string").alias("doc_id"), "text"
+        )
+        first = named.groupBy("content_sha256").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d"))
+        self.documents.append(first.select("content_sha256", "d.*"), commit)
+        new = self.documents.committed(commit).select(F.col("content_sha256").alias("doc_id"), "text")
+        self.evidence.append(evidence_of(new), commit)
+        self.projection.append(search.build_projection(*projection_inputs(self.evidence.committed(commit))), commit)
+
+
+def projection_inputs(evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Evidence as the search projection takes it, with no claims and no papers."""
+    spark = evidence.sparkSession
+    rows = evidence.select(
+        "evidence_id", "paper_version_id", F.col("paper_version_id").alias("paper_id"), F.lit(None).cast("string").alias("section_id"),
+        F.col("evidence_type") if "evidence_type" in evidence.columns else F.col("unit_type").alias("evidence_type"),
+        F.col("page_number").alias("page_start"), "text",
+    )
+    claims = "claim_id string, paper_id string, paper_version_id string, claim_type string, category string, statement string, support_state string"
+    return rows, spark.createDataFrame([], claims), spark.createDataFrame([], "paper_id string, canonical_title string")
+
+
+def ingest_chain(docs: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
+    """Arriving documents to stored content, evidence and search documents, each once."""
+    return (
+        docs.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, number: store.ingest(batch, f"b{number}"))
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def start_keyed(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Write the changed rows of every batch to a folder of that batch; a repeated batch replaces its own.
 
