@@ -165,10 +165,9 @@ def version_labels(
 ) -> DataFrame:
     """Next free v1, v2, ... label for each new version of a paper, in arrival order.
 
-    ``arrivals``: paper_id, arrival (``bucket`` rises with it; its day if left out);
+    ``arrivals``: paper_id, arrival (``bucket`` rises with it; sampled ranges if left out);
     ``existing``: paper_id, version_label. Numbering starts after the stored version count, as the store does, and skips taken labels.
     """
-    bucket = F.to_date("arrival") if bucket is None else bucket
     numbered = keyed.number_in_key(arrivals, ["paper_id"], ["arrival"], bucket, "k")
     if existing is None:
         return numbered.select(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.session import cut_lineage
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key, as a map-side aggregate."""
@@ -39,11 +41,30 @@ def _buckets(df: DataFrame, keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("_b")
 
 
+def ranges(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``_b``, the number of the range of (keys, order) that a row lies in.
+
+    Split points are sampled from the full order, so a key with most rows, or rows of one
+    day, spread over many ranges as long as ``order`` tells them apart. The rows are kept in
+    the shared folder: split points must be the same for all that is built on them.
+    """
+    columns = [*keys, *order]
+    placed = df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)
+    return cut_lineage(placed.withColumn("_b", F.spark_partition_id()))
+
+
+def _marked(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None) -> DataFrame:
+    return ranges(df, keys, order) if bucket is None else df.withColumn("_b", bucket)
+
+
 def number_in_key(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column | None, name: str
 ) -> DataFrame:
-    """1, 2, ... within ``keys`` by ``order``; ``bucket`` must not decrease along it."""
-    marked = df.withColumn("_b", bucket)
+    """1, 2, ... within ``keys`` by ``order``.
+
+    ``bucket`` must not decrease along the order; without one, sampled ranges are used.
+    """
+    marked = _marked(df, keys, order, bucket)
     counts = marked.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
     before = _buckets(df, keys).rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(
@@ -59,10 +80,10 @@ def number_in_key(
 
 
 def previous_in_key(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, column: str, name: str
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column | None, column: str, name: str
 ) -> DataFrame:
     """``column`` of the preceding row of the key."""
-    marked = df.withColumn("_b", bucket)
+    marked = _marked(df, keys, order, bucket)
     last = marked.groupBy(*keys, "_b").agg(F.max_by(column, F.struct(*order)).alias("_last"))
     carried = last.select(*keys, "_b", F.lag("_last").over(_buckets(df, keys)).alias("_carry"))
     inner = Window.partitionBy(*keys, "_b").orderBy(*order)
@@ -75,10 +96,10 @@ def previous_in_key(
 
 
 def running_max_before(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, column: str, name: str
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column | None, column: str, name: str
 ) -> DataFrame:
     """Greatest ``column`` among all preceding rows of the key."""
-    marked = df.withColumn("_b", bucket)
+    marked = _marked(df, keys, order, bucket)
     peak = marked.groupBy(*keys, "_b").agg(F.max(column).alias("_peak"))
     earlier = _buckets(df, keys).rowsBetween(Window.unboundedPreceding, -1)
     carried = peak.select(*keys, "_b", F.max("_peak").over(earlier).alias("_carry"))

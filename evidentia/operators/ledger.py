@@ -200,6 +200,38 @@ def selection_hash(ids: DataFrame, keys: list[str], column: str) -> DataFrame:
     )
 
 
+#: Levels of a tree of 256 branches; leaves of about as many members: enough for 10**12 members.
+MERKLE_LEVELS = 4
+MERKLE_LEAF = 256
+
+
+def merkle_hash(ids: DataFrame, keys: list[str], column: str, leaf: int = MERKLE_LEAF) -> DataFrame:
+    """A tree hash of the set of identifiers per key: keys, selected, depth, selection_hash.
+
+    Members are ordered by their own sha-256, whose leading bytes name the block they are in:
+    a block is a few hundred members at any size of the set, and its hash covers them in order.
+    Blocks with the same bytes but the last make the block above, up to the root. The
+    result depends on the members alone, not on how rows are partitioned or repeated, and no
+    group holds more than a few hundred hashes. The depth follows the number of members.
+    Null identifiers are no members.
+    """
+    members = ids.where(F.col(column).isNotNull()).select(*keys, F.sha2(F.col(column).cast("string"), 256).alias("h")).distinct()
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("selected"))
+    depth = sum((F.col("selected") > leaf * 256**k).cast("int") for k in range(MERKLE_LEVELS))
+    nodes = (
+        members.join(sizes.withColumn("depth", depth), keys)
+        .groupBy(*keys, "selected", "depth", F.substring("h", F.lit(1), 2 * F.col("depth")).alias("block"))
+        .agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+    )
+    for level in range(MERKLE_LEVELS, 0, -1):
+        deep = F.length("block") == 2 * level
+        lifted = nodes.where(deep).groupBy(*keys, "selected", "depth", F.substring("block", 1, 2 * level - 2).alias("block")).agg(
+            F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("block", "h"))), ""), 256).alias("h")
+        )
+        nodes = nodes.where(~deep).unionByName(lifted)
+    return nodes.select(*keys, "selected", "depth", F.substring("h", 1, 16).alias("selection_hash"))
+
+
 def scope_revision(tables: dict[str, DataFrame]) -> DataFrame:
     """Fingerprint of counts and latest timestamps over several tables."""
     parts = None

@@ -281,7 +281,7 @@ def paper_analysis(claims: DataFrame) -> DataFrame:
         ),
         ["paper_version_id", "category"],
         ["created_at", "claim_id"],
-        F.year("created_at"),
+        None,
         "position",
     )
 
@@ -515,7 +515,7 @@ def synthesis_lines(claims: DataFrame, versions: DataFrame) -> DataFrame:
         "paper_version_id", "created_at", "claim_id", line.alias("line")
     )
     lines = keyed.number_in_key(
-        good, ["paper_version_id"], ["created_at", "claim_id"], F.year("created_at"), "line_no"
+        good, ["paper_version_id"], ["created_at", "claim_id"], None, "line_no"
     ).select("paper_version_id", "line_no", "line")
     return (
         versions.select("paper_version_id")

@@ -393,7 +393,7 @@ def legal_step(before: Column, after: Column) -> Column:
 def transition_audit(events: DataFrame) -> DataFrame:
     """State changes (task_id, occurred, event_id, state) that the rules do not allow."""
     steps = keyed.previous_in_key(
-        events, ["task_id"], ["occurred", "event_id"], F.to_date("occurred"), "state", "before"
+        events, ["task_id"], ["occurred", "event_id"], None, "state", "before"
     )
     return steps.where(
         F.col("before").isNotNull() & ~legal_step(F.col("before"), F.col("state"))
@@ -403,7 +403,7 @@ def transition_audit(events: DataFrame) -> DataFrame:
 def stage_regressions(events: DataFrame) -> DataFrame:
     """Stage events (job_id, occurred, event_id, stage_no) below a stage already reached."""
     seen = keyed.running_max_before(
-        events, ["job_id"], ["occurred", "event_id"], F.to_date("occurred"), "stage_no", "reached"
+        events, ["job_id"], ["occurred", "event_id"], None, "stage_no", "reached"
     )
     return seen.where(F.col("stage_no") < F.col("reached")).select(
         "job_id", "event_id", "stage_no", "reached"

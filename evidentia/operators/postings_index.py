@@ -149,5 +149,5 @@ def matches(index: PostingsIndex, queries: DataFrame) -> DataFrame:
     """query_id, document_id, score, rank of all matches, as ``search.fts`` gives them."""
     terms, opened = asked_terms(index, queries)
     rows = scored(index, terms, opened, shard_bounds(index, terms, opened)).withColumn("_order", -F.col("score"))
-    ranked = keyed.number_in_key(rows, ["query_id"], ["_order", "document_id"], F.floor(F.col("_order") * 4), "rank")
+    ranked = keyed.number_in_key(rows, ["query_id"], ["_order", "document_id"], None, "rank")
     return ranked.select("query_id", "document_id", "score", "rank")

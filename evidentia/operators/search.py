@@ -280,7 +280,7 @@ def fts(
         .select("query_id", "document_id", "score", (-F.col("score")).alias("_order"))
     )
     ranked = keyed.number_in_key(
-        scored, ["query_id"], ["_order", "document_id"], F.floor(F.col("_order") * 4), "rank"
+        scored, ["query_id"], ["_order", "document_id"], None, "rank"
     )
     return ranked.select("query_id", "document_id", "score", "rank")
 

@@ -310,6 +310,25 @@ def d13(t):
     return L.selection_hash(rows, ["collection_id"], "paper_version_id")
 
 
+def merkle_level(level: int) -> str:
+    """Checking SQL of one level of the tree."""
+    above = f"n{level + 1}"
+    return f"""n{level} AS (SELECT * FROM {above} WHERE length(block) <> {2 * level} UNION ALL
+  SELECT claim_type, selected, depth, substr(block, 1, {2 * level - 2}), sha256(string_agg(concat(block, h), '' ORDER BY concat(block, h)))
+  FROM {above} WHERE length(block) = {2 * level} GROUP BY 1, 2, 3, 4)"""
+
+
+@query("d13_merkle_hash", f"""
+WITH m AS (SELECT DISTINCT claim_type, sha256(claim_id) AS h FROM claims), s AS (SELECT claim_type, count(*) AS selected FROM m GROUP BY 1),
+d AS (SELECT *, cast(selected > 16 AS int) + cast(selected > 4096 AS int) + cast(selected > 1048576 AS int) + cast(selected > 268435456 AS int) AS depth FROM s),
+n5 AS (SELECT claim_type, selected, depth, substr(h, 1, 2 * depth) AS block, sha256(string_agg(h, '' ORDER BY h)) AS h FROM m JOIN d USING (claim_type) GROUP BY 1, 2, 3, 4),
+{", ".join(merkle_level(k) for k in (4, 3, 2, 1))}
+SELECT claim_type, selected, depth, substr(h, 1, 16) AS selection_hash FROM n1""")
+def d13_merkle(t):
+    """All claims of a type as one set, with small leaves so that the tree has several levels."""
+    return L.merkle_hash(t.claims, ["claim_type"], "claim_id", 16)
+
+
 @query("d13_scope_revision", """
 SELECT substr(sha256(array_to_string(list_sort(list(p)), '|')), 1, 16) AS revision FROM (
   SELECT concat('claims|', count(*), '|', strftime(max(created_at), '%Y-%m-%d %H:%M:%S')) AS p FROM claims

@@ -64,3 +64,23 @@ def test_order_statistics(df, rows):
         size = len(values)
         want[k] = (values[(size - 1) // 2], values[min(size - 1, int(size * 0.9))])
     assert got == want
+
+
+def test_ranges_split_a_hot_key_of_one_day(spark):
+    """Nine tenths of the rows have one key and one time: only the last order column tells them apart."""
+    rows = [("hot", 0, i, i % 7) for i in range(3600)] + [(f"k{i % 40}", i % 3, i, i % 5) for i in range(400)]
+    frame = spark.createDataFrame(rows, "k string, t int, id int, v int").repartition(4)
+    placed = keyed.ranges(frame, ["k"], ["t", "id"], 16)
+    sizes = [r[0] for r in placed.groupBy("_b").count().select("count").collect()]
+    assert len(sizes) >= 12 and max(sizes) < 800
+    low = placed.groupBy("_b").agg(F.min(F.struct("k", "t", "id")).alias("low"), F.max(F.struct("k", "t", "id")).alias("high"))
+    bounds = [(tuple(r.low), tuple(r.high)) for r in low.orderBy("_b").collect()]
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:], strict=False))
+    got = keyed.number_in_key(frame, ["k"], ["t", "id"], None, "n")
+    got = keyed.previous_in_key(got, ["k"], ["t", "id"], None, "v", "p")
+    got = keyed.running_max_before(got, ["k"], ["t", "id"], None, "v", "m")
+    found = {(r["k"], r["id"]): (r["n"], r["p"], r["m"]) for r in got.collect()}
+    for k, items in by_key(rows).items():
+        values = [x[3] for x in items]
+        for i, r in enumerate(items):
+            assert found[k, r[2]] == (i + 1, values[i - 1] if i else None, max(values[:i]) if i else None)

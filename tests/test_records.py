@@ -284,3 +284,19 @@ def test_events_drop_unknown_fields(spark, tmp_path):
     df = readers.read_events(spark, str(path))
     assert "api_key" not in df.columns and df.first()["status"] == "OK"
     assert readers.read_events(spark, str(tmp_path), stream=True).isStreaming
+
+
+def test_merkle_hash_follows_the_members_alone(spark):
+    def tree(ids, leaf=4, parts=3):
+        frame = spark.createDataFrame([("k", i) for i in ids], "k string, id string").repartition(parts)
+        return [tuple(r) for r in L.merkle_hash(frame, ["k"], "id", leaf).collect()]
+
+    ids = [f"m{i}" for i in range(1500)]
+    (whole,) = tree(ids)
+    assert whole[1:3] == (1500, 2)
+    assert tree([*reversed(ids), *ids[:40], None], parts=7) == [whole]
+    for changed in (ids[1:], [*ids, "x"], ["y", *ids[1:]], ids[:-1] + ["z"]):
+        assert tree(changed)[0][3] != whole[3]
+    sizes = {n: tree(ids[:n])[0][2] for n in (1, 4, 5, 1024, 1025)}
+    assert sizes == {1: 0, 4: 0, 5: 1, 1024: 1, 1025: 2}
+    assert tree([]) == []
