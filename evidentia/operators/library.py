@@ -165,6 +165,63 @@ def module_split(claims: DataFrame, versions: DataFrame) -> DataFrame:
     )
 
 
+def _by_tier(values: dict[str, int]) -> Column:
+    out = F.lit(None).cast("int")
+    for tier, value in values.items():
+        out = F.when(F.col("tier") == tier, F.lit(value)).otherwise(out)
+    return out
+
+
+def agent_plan(papers: DataFrame, agents: DataFrame) -> DataFrame:
+    """Every agent (agent_type) of each paper (paper_id, tier): allowed or the reason it is not.
+
+    Nothing runs at the index tier, the scan agents at the scan tier, all at the tiers above. An
+    unknown tier allows nothing. The agents are a fixed few, so a paper becomes a few rows.
+    """
+    kinds = agents.select("agent_type").distinct().agg(F.array_sort(F.collect_list("agent_type"))).scalar()
+    full = F.col("tier").isin("T2_FULL", "T3_DEEP")
+    scan = (F.col("tier") == "T1_SCAN") & F.col("agent_type").isin(*tables.SCAN_AGENTS)
+    needs = F.when(F.col("agent_type").isin(*tables.SCAN_AGENTS), "T1_SCAN").otherwise("T2_FULL")
+    reason = F.concat(F.lit("agent "), "agent_type", F.lit(" requires "), needs, F.lit("; this paper's tier is "), "tier")
+    return (
+        papers.select("paper_id", "tier")
+        .withColumn("agent_type", F.explode(kinds))
+        .withColumn("allowed", F.coalesce(full | scan, F.lit(False)))
+        .withColumn("reason", F.when(~F.col("allowed"), reason))
+    )
+
+
+def tier_budgets(papers: DataFrame, claims: DataFrame, evidence: DataFrame, versions: DataFrame) -> DataFrame:
+    """What each paper's tier grants and what its newest use is: claims, context units, verifiers.
+
+    ``papers``: paper_id, tier; ``versions``: paper_version_id, paper_id. A paper's claims and
+    units are those of its version with the most of them, since limits hold per analysis.
+    ``over`` names the limits that are passed.
+    """
+    owned = versions.select("paper_version_id", "paper_id").distinct()
+
+    def most(rows: DataFrame, name: str) -> DataFrame:
+        per = rows.groupBy("paper_version_id").agg(F.count("*").alias("n"))
+        return per.join(owned, "paper_version_id").groupBy("paper_id").agg(F.max("n").alias(name))
+
+    used = (
+        papers.select("paper_id", "tier")
+        .join(most(claims.select("paper_version_id"), "claims"), "paper_id", "left")
+        .join(most(evidence.select("paper_version_id"), "units"), "paper_id", "left")
+        .fillna(0, ["claims", "units"])
+        .withColumn("max_claims", _by_tier(tables.TIER_MAX_CLAIMS))
+        .withColumn("context_units", _by_tier(tables.TIER_CONTEXT_UNITS))
+        .withColumn("verifiers", _by_tier(tables.TIER_VERIFIER_COUNT))
+    )
+    over = F.array_compact(
+        F.array(
+            F.when(F.col("claims") > F.col("max_claims"), "claims"),
+            F.when(F.col("units") > F.col("context_units"), "context_units"),
+        )
+    )
+    return used.withColumn("over", over)
+
+
 def stage_plan(papers: DataFrame) -> DataFrame:
     """Every pipeline stage of each paper (paper_id, tier): allowed or the reason it is not."""
     minimum = {

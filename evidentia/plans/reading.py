@@ -241,6 +241,38 @@ def p11(t):
     ).select("paper_id", "stage", "stage_no", "allowed")
 
 
+SCANNING = ", ".join(repr(a) for a in C.SCAN_AGENTS)
+
+
+def tiered(t):
+    return t.supplier.select(F.col("s_suppkey").alias("paper_id"), F.expr(TIER).alias("tier"))
+
+
+@query("p11_agent_plan", f"""
+WITH p AS (SELECT s_suppkey AS paper_id, {TIER} AS tier FROM supplier), a AS (SELECT DISTINCT agent_type FROM runs),
+x AS (SELECT *, tier IN ('T2_FULL', 'T3_DEEP') OR (tier = 'T1_SCAN' AND agent_type IN ({SCANNING})) AS allowed FROM p CROSS JOIN a)
+SELECT paper_id, agent_type, allowed, CASE WHEN NOT allowed THEN concat('agent ', agent_type, ' requires ', CASE WHEN agent_type IN ({SCANNING}) THEN 'T1_SCAN' ELSE 'T2_FULL' END,
+  '; this paper''s tier is ', tier) END AS reason FROM x""")
+def p11_agents(t):
+    return L.agent_plan(tiered(t), t.runs).drop("tier")
+
+
+def by_tier(values: dict[str, int]) -> str:
+    return "CASE tier " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
+@query("p11_tier_budgets", f"""
+WITH p AS (SELECT s_suppkey AS paper_id, {TIER} AS tier FROM supplier), o AS (SELECT DISTINCT paper_version_id, paper_id FROM paper_versions),
+c AS (SELECT paper_id, max(n) AS n FROM (SELECT paper_version_id, count(*) AS n FROM claims GROUP BY 1) q JOIN o USING (paper_version_id) GROUP BY 1),
+u AS (SELECT paper_id, max(n) AS n FROM (SELECT paper_version_id, count(*) AS n FROM evidence GROUP BY 1) q JOIN o USING (paper_version_id) GROUP BY 1),
+x AS (SELECT p.paper_id, tier, coalesce(c.n, 0) AS claims, coalesce(u.n, 0) AS units, {by_tier(C.TIER_MAX_CLAIMS)} AS max_claims,
+  {by_tier(C.TIER_CONTEXT_UNITS)} AS context_units, {by_tier(C.TIER_VERIFIER_COUNT)} AS verifiers
+  FROM p LEFT JOIN c ON c.paper_id = p.paper_id LEFT JOIN u ON u.paper_id = p.paper_id)
+SELECT *, list_filter([CASE WHEN claims > max_claims THEN 'claims' END, CASE WHEN units > context_units THEN 'context_units' END], lambda v: v IS NOT NULL) AS over FROM x""")
+def p11_budgets(t):
+    return L.tier_budgets(tiered(t), t.claims, t.evidence, t.paper_versions)
+
+
 @query("p12_profile_claims", "SELECT claim_id FROM claims WHERE run_id IN (SELECT run_id FROM runs WHERE agent_type = 'agents.method')")
 def p12(t):
     return L.profile_claims(t.claims, t.runs, "methods").select("claim_id")
