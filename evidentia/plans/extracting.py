@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.operators import extraction as E
+from evidentia.operators import redaction as RD
 from evidentia.operators import responses as R
 from evidentia.operators import structure as S
 from evidentia.plans import duck
@@ -426,6 +427,20 @@ def e20_map(t):
     return t.documents.select("doc_id", clean["api_key"].alias("api_key"), clean["note"].alias("note"))
 
 
+@query("e20_redact_json", f"""
+SELECT doc_id, concat('{{"items":[{{"api_key":"[REDACTED]","line":', note, '}}],"meta":{{"deep":[[', to_json(doc_id), ',', note, ']],"headers":"[REDACTED]","lang":', to_json(lang), '}},"note":', note, '}}') AS redacted
+FROM (SELECT doc_id, lang, cast(to_json({REDACTED}) AS varchar) AS note FROM documents) q""")
+def e20_json(t):
+    """Objects in arrays, arrays in arrays and a sensitive key over an object, built from every document."""
+    text, one = F.to_json(F.array("text")), F.to_json(F.array("source"))
+    deep = F.concat(F.lit("[["), F.col("doc_id").cast("string"), F.lit(","), F.regexp_replace(text, r"^\[|\]$", ""), F.lit("]]"))
+    body = F.concat(
+        F.lit('{"note": '), F.regexp_replace(text, r"^\[|\]$", ""), F.lit(', "meta": {"lang": "'), F.col("lang"), F.lit('", "headers": {"x": '), one,
+        F.lit('}, "deep": '), deep, F.lit('}, "items": [{"line": '), F.regexp_replace(text, r"^\[|\]$", ""), F.lit(', "api_key": '), one, F.lit("}]}"),
+    )
+    return RD.redact_json(t.documents.select("doc_id", body.alias("body")), "doc_id", "body")
+
+
 @query("e23_normalize_metadata", """
 SELECT doc_id, concat('10.1/', doc_id) AS identifier, CASE WHEN lang = 'de' THEN '' ELSE concat('T ', n_chars) END AS title, [concat('A ', source)] AS authors, 2000 + doc_id % 20 AS year, lang = 'de' AS malformed FROM documents""")
 def e23(t):
