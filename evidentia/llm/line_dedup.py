@@ -8,8 +8,8 @@ holds it. A document then gets the hashes it has to give up and is put together
 line order.
 
 A line that a third of all documents hold is one row per document before it is counted and
-is counted in two steps, (key, document) and then key; the look-up of frequent keys is a
-plain join that adaptive execution splits. Only hashes take part: texts move once, to meet
+is counted in two steps, (key, document) and then key; the frequent keys are stored, so that
+their look-up is a join which adaptive execution can split. Only hashes take part: texts move once, to meet
 the hashes they lose.
 
 Null or empty text: one empty line. Lines below ``min_chars`` code points always stay. Rows
@@ -103,7 +103,7 @@ def without_repeated_lines(
 ) -> DataFrame:
     """doc_id, host, n_lines (before), n_dropped and the kept text as UTF-8 bytes, one row per document row."""
     keys = line_keys(documents, host, min_chars)
-    frequent = frequent_keys(keys, min_documents).select("host", "key", "keeper")
+    frequent = common.stored(frequent_keys(keys, min_documents).select("host", "key", "keeper"))
     # A text that several rows of one doc_id repeat loses its keys once.
     lost = (
         keys.join(frequent, ["host", "key"])
