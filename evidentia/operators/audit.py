@@ -254,8 +254,10 @@ def review_items(
 
 
 def review_page(items: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
-    """One page of the queue, HIGH impact first, then by claim."""
-    return items.orderBy(F.col("impact") != "HIGH", "claim_id").offset(offset).limit(limit)
+    """One page of the queue, HIGH impact first, then by claim; ``total`` counts the whole queue."""
+    total = items.agg(F.count("*").alias("total")).scalar()
+    page = items.orderBy(F.col("impact") != "HIGH", "claim_id").offset(offset).limit(limit)
+    return page.withColumn("total", total)
 
 
 def counter_claims(verdicts: DataFrame, links: DataFrame) -> DataFrame:

@@ -100,6 +100,11 @@ def v16_page(t):
     return A.review_page(review(t), 50).select("claim_id", "impact", "review_group")
 
 
+@query("v16_page_total", REVIEW + "SELECT claim_id, (SELECT count(*) FROM items) AS total FROM items ORDER BY impact <> 'HIGH', claim_id LIMIT 50 OFFSET 50")
+def v16_total(t):
+    return A.review_page(review(t), 50).select("claim_id", "total")
+
+
 @query("w1_latest_verdicts", """
 SELECT claim_id, verifier_type, arg_max(verdict, (created_at, verification_id)) AS verdict, max(created_at) AS created_at FROM verifications GROUP BY 1, 2""")
 def w1(t):

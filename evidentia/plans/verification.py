@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
-from evidentia.operators import overlap, verify
+from evidentia.operators import audit, overlap, verify
 from evidentia.plans import duck
 from evidentia.plans.registry import query
 from evidentia.tables import VERIFIERS
@@ -125,6 +125,16 @@ def v5(t):
     )
 
 
+@query("v16_counter_evidence", PAIRS + """
+SELECT c.claim_id, c.rival_id, e.evidence_id FROM (SELECT claim_id, arg_min(b_id, (b_at, b_id)) AS rival_id
+  FROM near_claims WHERE len(a_numbers) > 0 AND len(b_numbers) > 0 AND a_numbers <> b_numbers GROUP BY claim_id) c
+JOIN claim_evidence e ON e.claim_id = c.rival_id""")
+def v16_counter(t):
+    """Evidence that the contradicting claims cite."""
+    verdicts = verify.contradiction(verify.prepare(t.claims))
+    return audit.counter_claims(verdicts, t.claim_evidence).select("claim_id", "rival_id", "evidence_id")
+
+
 @query("v6_consensus", PAIRS + """
 SELECT p.claim_id, CASE WHEN coalesce(n, 0) = 0 THEN 'INCONCLUSIVE' WHEN rival IS NOT NULL THEN 'FAIL'
   ELSE 'PASS' END AS verdict, coalesce(n, 0) AS independent_count, rival AS disagreeing_claim_id
