@@ -39,7 +39,7 @@ MAX_WORDS = 5
 TOP = 2000
 
 #: Words of a block; side of a square tile of pairs; pairs from which a tile is counted densely.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 SIDE = 1024
 FULL = SIDE * SIDE // 8
 
@@ -105,9 +105,9 @@ def _blocks(size: int):
 
 
 def count_pairs(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different pairs of numbers below ``size`` and how often each occurs, by tiles."""
+    """Different pairs of 32-bit numbers below ``size`` and how often each occurs, by tiles."""
     tiles = size // SIDE + 1
-    tile = (x // SIDE).astype(np.int64) * tiles + y // SIDE
+    tile = x // SIDE * tiles + y // SIDE
     filled = np.bincount(tile, minlength=tiles * tiles)
     full = np.flatnonzero(filled >= FULL)
     out = []
@@ -115,7 +115,7 @@ def count_pairs(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np
         place = np.full(tiles * tiles, -1, dtype=np.int32)
         place[full] = np.arange(len(full))
         place = place[tile]
-        inside = (x % SIDE).astype(np.int64) * SIDE + y % SIDE
+        inside = x % SIDE * SIDE + y % SIDE
         for k, t in enumerate(full):
             cells = np.bincount(inside[place == k], minlength=SIDE * SIDE)
             cell = np.flatnonzero(cells)
@@ -159,7 +159,14 @@ def _one(table: pa.Table, column: str) -> pa.Scalar | None:
 
 
 def _block_row(block: str, ids: np.ndarray, at: np.ndarray) -> pa.Table:
-    """A block whose numbers are places in ``ids``, the sorted frequent ids that occur in it."""
+    """A block whose numbers are places in ``ids``, the sorted frequent ids that occur in it.
+
+    Only neighbours matter, so a run of places without a frequent id is kept as one: a block
+    is not larger than what is frequent in it.
+    """
+    held = at >= 0
+    held[1:] |= at[:-1] >= 0
+    at = at[held]
     columns = [pa.array([block]), pa.array([ids.tobytes()], pa.binary()), pa.array([at.astype(np.int32).tobytes()], pa.binary())]
     return pa.Table.from_arrays(columns, ["block", "ids", "at"])
 
