@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -54,13 +53,13 @@ def _byte_of() -> dict[str, int]:
 
 
 #: White space other than a space or a line break, and all that Python alone takes for white space.
-_ODD = re.compile(r"[^\S \n]")
+_ODD = tuple(c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n")
 _EDGES = ("", " ", "\n")
 
 
 def evenly_spaced(text: str) -> bool:
     """Whether all white space of ``text`` is one space or one line break between other characters."""
-    if text[:1] in _EDGES or text[-1:] in _EDGES or _ODD.search(text):
+    if text[:1] in _EDGES or text[-1:] in _EDGES or any(c in text for c in _ODD):
         return False
     return not any(pair in text for pair in ("  ", " \n", "\n ", "\n\n"))
 
