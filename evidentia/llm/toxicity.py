@@ -17,7 +17,8 @@ clean one must not. A unit's training label is therefore its document's, and a d
 score is a logistic function, fitted on the same rows, of how many of its units are
 above the margin and of their share.
 
-Training reads at most ``TRAIN_ROWS`` labelled rows, those of the smallest hash; held-out
+Training reads at most ``TRAIN_ROWS`` labelled rows, those of the smallest hash, and at most
+``TRAIN_BYTES`` of their texts; held-out
 rows (crc32 of doc_id as text, modulo 3, is 1) are never among them. Inputs of a score are
 characters of the text alone.
 
@@ -45,6 +46,10 @@ GAP = 2
 DECAY = 0.7
 LANDMARKS = 96
 TRAIN_ROWS = 6000
+#: Bytes of the texts it is fitted on at most.
+TRAIN_BYTES = 64 << 20
+#: Bytes of the texts it is fitted on at most.
+TRAIN_BYTES = 64 << 20
 THRESHOLD = 0.7
 
 #: Characters are dealt to codes; 0 ends a unit and takes part in no subsequence.
@@ -340,15 +345,61 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled rows that are not held out, those of the smallest id hash."""
+def _fitted(max_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
+                text = text.as_py()
+                if held + len(text) <= max_bytes:
+                    rows.append((text, toxic.as_py()))
+                    held += len(text)
+        model = fit(sorted(rows))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64()),
+             pa.array([list(map(float, model.slope))], pa.list_(pa.float64()))],
+            ["weights", "bias", "slope"],
+        )
+
+    return run
+
+
+def _fitted(max_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                if held + len(text) <= max_bytes:
+                    rows.append((text, toxic))
+                    held += len(text)
+        model = fit(sorted(rows))
+        columns = [
+            pa.array([model.weights.tobytes()], pa.binary()),
+            pa.array([float(model.bias)], pa.float64()),
+            pa.array([[float(x) for x in model.slope]], pa.list_(pa.float64())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["weights", "bias", "slope"])
+
+    return run
+
+
+def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``rows`` labelled ids that are not held out, those of the smallest id hash.
+
+    Of their texts, taken in that order, those are used that fit into ``max_bytes`` together. An
+    id with several labels counts as toxic if one of them is. One task fits; the driver gets
+    the model alone.
+    """
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = own.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    ids = [tuple(r) for r in chosen.collect()]
-    kept = documents.where(F.col("doc_id").isin([r[0] for r in ids]) & F.col("text").isNotNull()) if ids else None
-    texts = kept.select("doc_id", "text").collect() if ids else []
-    by_id = {doc_id: int(toxic) for doc_id, toxic in ids}
-    return fit(sorted((t.encode(), by_id[i]) for i, t in texts))
+    each = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
+    sample = texts.join(chosen, "doc_id").distinct().repartition(1)
+    ordered = sample.sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
+    found = ordered.mapInArrow(_fitted(max_bytes), "weights binary, bias double, slope array<double>").collect()
+    if not found:
+        return fit([])
+    return Model(np.frombuffer(found[0]["weights"]), found[0]["bias"], tuple(found[0]["slope"]))
 
 
 def scores(rows: DataFrame, model: Model) -> DataFrame:
