@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.operators import keyed
+from evidentia.session import cut_lineage, stored
 
 RRF_K = 60
 MAX_LIMIT = 200
@@ -240,43 +241,73 @@ def postings(docs: DataFrame, text: str = "index_text") -> DataFrame:
     )
 
 
+#: Asked words that go to the documents as one list; more are joined.
+FEW_WORDS = 10_000
+
+
+def _few(words_: DataFrame) -> list[str] | None:
+    """The words, or None if they are too many for one list."""
+    rows = [r[0] for r in words_.limit(FEW_WORDS + 1).collect()]
+    return rows if len(rows) <= FEW_WORDS else None
+
+
+def _asked_words(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """document_id, doc_len, tfs: the asked words of every document with their counts."""
+    few = _few(asked)
+    if few is not None:
+        found = F.filter("tokens", lambda w: w.isin(few) if few else F.lit(False))
+        held = tokens.select("document_id", "doc_len", found.alias("found"))
+        one = F.array_distinct("found")
+        count = F.transform(one, lambda w: (F.size("found") - F.size(F.array_remove("found", w))).cast("long"))
+        return held.select("document_id", "doc_len", F.map_from_arrays(one, count).alias("tfs"))
+    each = tokens.select("document_id", F.explode("tokens").alias("token")).join(asked, "token", "left_semi")
+    counted = each.groupBy("document_id", "token").agg(F.count("*").alias("tf"))
+    maps = counted.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "tf"))).alias("tfs"))
+    none = F.create_map().cast("map<string,bigint>")
+    return tokens.select("document_id", "doc_len").join(maps, "document_id", "left").withColumn("tfs", F.coalesce("tfs", none))
+
+
 def fts(
     docs: DataFrame, queries: DataFrame, text: str = "index_text", k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
     """Documents that hold all words of a query, scored by BM25 and ranked per query.
 
-    ``docs``: document_id and ``text``; ``queries``: query_id, query. Only asked words are
-    counted and shuffled; document lengths are sizes of the word lists. Scores are rounded
-    so that equal documents tie, and ties are ordered by document. Ranks are exact for any
-    number of matches.
+    ``docs``: document_id and ``text``, one row per document; ``queries``: query_id, query. A
+    document keeps the asked words it has, with their counts, and meets a query by the query's
+    rarest word alone; the others are looked up in the document's own words. So a word that all
+    documents have moves nothing. Document lengths are sizes of the word lists. Scores are
+    rounded so that equal documents tie, and ties are ordered by document. Ranks are exact for
+    any number of matches.
     """
-    terms = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("terms")).select(
-        "query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("token")
-    )
+    terms = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
+    asked = terms.select(F.explode("terms").alias("token")).distinct()
     tokens = docs.select("document_id", words(F.col(text)).alias("tokens")).withColumn("doc_len", F.size("tokens"))
-    corpus = tokens.where("doc_len > 0").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    asked = terms.select("token").distinct()
-    hits = (
-        tokens.select("document_id", "doc_len", F.explode("tokens").alias("token"))
-        .join(asked, "token", "left_semi")
-        .groupBy("token", "document_id", "doc_len")
-        .agg(F.count("*").alias("tf"))
+    held = stored(_asked_words(tokens.where("doc_len > 0"), asked))
+    figures = held.agg(F.struct(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))).scalar()
+    frequency = held.select(F.explode(F.map_keys("tfs")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    asked_of = (
+        terms.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("token"))
+        .join(frequency, "token")
+        .groupBy("query_id", "n_terms")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("parts"))
+        .where(F.size("parts") == F.col("n_terms"))  # a word that no document has finds nothing
+        .select("query_id", "parts", F.col("parts")[0]["token"].alias("token"))
     )
-    frequency = hits.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
+    asked_of = cut_lineage(asked_of)
+    few = _few(asked_of.select("token").distinct())
+    led = F.map_keys("tfs")
+    if few is not None:
+        led = F.filter(led, lambda w: w.isin(few) if few else F.lit(False))
+    met = held.select("document_id", "doc_len", "tfs", F.explode(led).alias("token")).join(asked_of, "token")
+    tf = lambda p: F.element_at("tfs", p["token"])
+    idf = lambda p: F.log(1 + (F.col("corpus.n_docs") - p["df"] + 0.5) / (p["df"] + 0.5))
+    weight = lambda p: tf(p) * (k1 + 1) / (
+        tf(p) + k1 * (1 - b + b * F.col("doc_len") / F.col("corpus.avg_len"))
     )
-    figures = corpus.select(F.struct("n_docs", "avg_len")).scalar()
     scored = (
-        hits.join(terms, "token")
-        .join(frequency, "token")
+        met.where(F.forall("parts", lambda p: F.map_contains_key(F.col("tfs"), p["token"])))
         .withColumn("corpus", figures)
-        .withColumn("n_docs", F.col("corpus.n_docs"))
-        .withColumn("avg_len", F.col("corpus.avg_len"))
-        .groupBy("query_id", "document_id", "n_terms")
-        .agg(F.count("*").alias("found"), F.round(F.sum(idf * weight), 6).alias("score"))
-        .where(F.col("found") == F.col("n_terms"))
+        .withColumn("score", F.round(F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + idf(p) * weight(p)), 6))
         .select("query_id", "document_id", "score", (-F.col("score")).alias("_order"))
     )
     ranked = keyed.number_in_key(

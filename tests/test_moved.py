@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from evidentia.operators import search
 from evidentia.plans import catalog
 
 FOLDER = "/root/testdata/sf0.01"  # 60,000 rows of lineitem
@@ -27,6 +28,15 @@ def moved(spark, name):
     return sum(b for key, b in stages().items() if key not in before)
 
 
-@pytest.mark.parametrize(("name", "limit"), [("v5_contradiction", 650), ("c5_numeric_disagreements", 650)])
+@pytest.mark.parametrize(("name", "limit"), [("v5_contradiction", 650), ("c5_numeric_disagreements", 650), ("q8_search_claims", 200)])
 def test_a_claim_moves_few_bytes(spark, name, limit):
     assert moved(spark, name) < limit * 60_000
+
+
+def test_many_asked_words_give_the_same_ranks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "a a c"), (3, "b"), (4, ""), (5, "a b")], "document_id long, index_text string")
+    asked = spark.createDataFrame([("x", "a b"), ("y", "a"), ("z", "a nowhere"), ("w", "")], "query_id string, query string")
+    few = sorted(tuple(r) for r in search.fts(docs, asked).collect())
+    monkeypatch.setattr(search, "FEW_WORDS", 0)
+    assert sorted(tuple(r) for r in search.fts(docs, asked).collect()) == few
+    assert [r[:2] for r in few] == [("x", 1), ("x", 5), ("y", 1), ("y", 2), ("y", 5)]
