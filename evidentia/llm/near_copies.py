@@ -10,7 +10,9 @@ Every candidate pair is checked with the whole sets.
 
 A bucket forms no square of pairs. First each member is compared with the smallest one. In
 buckets whose members are not all linked by then, members that are not linked are compared:
-all of them in buckets of at most ``SMALL``, with ``LEADERS`` of them in larger ones.
+all of them in buckets of at most ``SMALL``, with ``LEADERS`` of them in larger ones. What is
+still apart in a larger bucket then meets by shingles, which misses no pair: two sets of
+similarity 0.8 share one of the rarest fifth (and one) of the shingles of either.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ _BYTE = common.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478
 _SEEDS = common.mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _SEEDS[: BANDS * ROWS], _SEEDS[BANDS * ROWS :] | np.uint64(1)
 _BLOCK = 1 << 9
+#: Sets of too different sizes are never similar.
+NEAR = "least(size, other) * 5 >= greatest(size, other) * 4"
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -94,18 +98,32 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def by_rare_shingles(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different roots that can be similar, among all rows (v, size, root)."""
+    words = sets.join(apart, "v").select("v", "size", "root", F.explode("set").alias("shingle"))
+    count = words.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A shingle of one set alone is the rarest; it takes a place of the prefix and meets nobody.
+    ranked = words.join(count, "shingle").groupBy("v", "size", "root")
+    ranked = ranked.agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("common"))
+    places = F.floor(F.col("size") / 5) + 1 - (F.col("size") - F.size("common"))
+    prefix = F.slice("common", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))["shingle"]
+    held = common.cut(ranked.select("v", "size", "root", F.explode(prefix).alias("shingle")))
+    other = held.select("shingle", F.col("v").alias("w"), F.col("size").alias("other"), F.col("root").alias("its"))
+    pairs = held.join(other, "shingle").where("v < w and root != its").where(NEAR)
+    return pairs.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
+
+
 def set_links(vertices: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b), a < b, between vertices (v, size, row, keys); ``texts`` has (row, text)."""
     dealt = vertices.select("v", "size", "row", F.posexplode("keys").alias("band", "key"))
     bucket = ["band", "key"]
     shared = dealt.groupBy(bucket).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
     held = common.cut(dealt.join(shared.where("low < high").drop("high"), bucket))
-    near = "least(size, other) * 5 >= greatest(size, other) * 4"
     rows = held.select("v", "row").distinct()
     of_row = texts.join(rows, "row").dropDuplicates(["v"]).select("v", F.col("text").cast("binary").alias("text"))
     sets = common.cut(of_row.mapInArrow(_sets, "v long, set array<long>"))
     sizes = sets.select(F.col("v").alias("low"), F.size("set").alias("other"))
-    first = held.where("low < v").select("low", "v", "size").distinct().join(sizes, "low").where(near)
+    first = held.where("low < v").select("low", "v", "size").distinct().join(sizes, "low").where(NEAR)
     first = common.cut(similar(first.select(F.col("low").alias("a"), F.col("v").alias("b")), sets))
 
     roots = simhash_dedup.components(first)
@@ -116,9 +134,18 @@ def set_links(vertices: DataFrame, texts: DataFrame) -> DataFrame:
     leaders = leaders.agg(F.min(F.struct("v", "size", "root")).alias("x")).select(*bucket, "x.*")
     leaders = left.where(F.col("n") <= SMALL).select(*bucket, "v", "size", "root").unionByName(leaders)
     leaders = leaders.select(*bucket, F.col("v").alias("w"), F.col("size").alias("other"), F.col("root").alias("its"))
-    more = left.join(leaders, bucket).where("root != its").where(near)
+    more = left.join(leaders, bucket).where("root != its").where(NEAR)
     more = more.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-    return first.unionByName(similar(more, sets))
+    found = common.cut(first.unionByName(similar(more, sets)))
+
+    large = left.where(F.col("n") > SMALL).drop("root")
+    if large.isEmpty():
+        return found
+    roots = simhash_dedup.components(found)
+    large = large.join(roots.withColumnRenamed("vertex", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    several = large.groupBy(bucket).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select(bucket)
+    apart = common.cut(large.join(several, bucket, "left_semi").select("v", "size", "root").distinct())
+    return found.unionByName(similar(by_rare_shingles(apart, sets), sets))
 
 
 def members(rows: DataFrame) -> DataFrame:

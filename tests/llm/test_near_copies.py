@@ -60,3 +60,15 @@ def test_large_buckets_compare_unlinked_members(spark):
     texts = spark.createDataFrame([(v, " ".join(f"w{x}" for x in s)) for v, s in sets.items()], "row long, text string")
     vertices = spark.createDataFrame([(v, 96, v, [7] * near_copies.BANDS) for v in sets], "v long, size long, row long, keys array<long>")
     assert [tuple(r) for r in near_copies.set_links(vertices, texts).collect()] == [(2, 3)]
+
+
+def test_no_pair_of_a_large_bucket_is_lost(spark):
+    """60 documents of one bucket, similar in pairs only: more than any leaders can meet."""
+    sets = {}
+    for k in range(30):
+        start = 1000 * k
+        sets[2 * k + 1], sets[2 * k + 2] = list(range(start, start + 100)), list(range(start + 2, start + 102))
+    texts = spark.createDataFrame([(v, " ".join(f"w{x}" for x in s)) for v, s in sets.items()], "row long, text string")
+    vertices = spark.createDataFrame([(v, 96, v, [7] * near_copies.BANDS) for v in sets], "v long, size long, row long, keys array<long>")
+    found = {tuple(r) for r in near_copies.set_links(vertices, texts).collect()}
+    assert found == {(2 * k + 1, 2 * k + 2) for k in range(30)}
