@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import search, vector_index
+from evidentia.plans import catalog
 
 DOCS = "document_id long, embedding array<double>"
 
@@ -88,3 +90,17 @@ def test_very_few_rows(spark, rows):
     docs = frame(spark, np.eye(rows, 4))
     index = vector_index.build(docs, vector_index.fit(docs))
     assert vector_index.search(index, asked(docs, 1)).where("rank = 1 AND query_id = document_id").count() == rows
+
+
+def test_first_of_equal_vectors_as_the_sql_says(spark, tmp_path):
+    """Copies of a query's vector under smaller ids come before the query itself."""
+    source = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    top = source.agg({"vec_id": "max"}).first()[0] + 1
+    copies = source.withColumn("vec_id", source.vec_id + top)
+    source.unionByName(copies).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["q5_semantic_index"]).fetchall())
+    got = sorted(tuple(r) for r in catalog.queries()["q5_semantic_index"](spark, str(tmp_path)).collect())
+    assert got == want
+    assert any(query != document for query, document, *_ in got)
