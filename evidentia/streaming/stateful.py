@@ -1,6 +1,6 @@
 """Keyed streaming jobs with timers: task steps in event order, worker freshness.
 
-State is kept in RocksDB, one entry per key and kind, and is dropped by timers, so it is
+State is kept in RocksDB, by buckets of tasks or one entry per worker, and is dropped by timers, so it is
 bounded by what is active and not by what has ever been seen.
 """
 
@@ -35,14 +35,18 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
 
 
 STEPS = "event_id string, before string, after string, legal boolean, retries int"
+#: Tasks share state entries by hash. A stream's checkpoint fixes the number.
+BUCKETS = 4096
 
 
 class TaskSteps(StatefulProcessor):
     """Holds events until the watermark has passed them, then judges them in order of time.
 
-    ``current``: state and retries of a task. ``waiting``: events the watermark has not
-    passed. One timer stands at the earliest waiting event, or, once the task is finished
-    and nothing waits, at the moment its state may go.
+    A key is a bucket of tasks, so that calls to the state store follow the number of buckets and
+    batches, not that of tasks. ``current``: state, retries and time of each task, column by
+    column. ``waiting``: events the watermark has not passed, one entry per batch. ``alarm``: the
+    bucket's one timer, at its earliest waiting event or, where that is sooner, at the moment
+    a finished task's state may go.
     """
 
     def __init__(self, keep_ms: int):
@@ -51,47 +55,73 @@ class TaskSteps(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.current = handle.getValueState("current", "state string, retries int, at_us long")
-        self.waiting = handle.getListState("waiting", "at_us long, event_id string, state string")
+        self.current = handle.getValueState("current", "task array<string>, state array<string>, retries array<int>, at_us array<long>")
+        self.waiting = handle.getListState("waiting", "task array<string>, at_us array<long>, event_id array<string>, state array<string>")
+        self.alarm = handle.getValueState("alarm", "at_ms long")
+
+    def _alarm(self, wanted: int | None, sooner: bool) -> None:
+        """Set the timer; with ``sooner`` one that stands before ``wanted`` stays."""
+        old = self.alarm.get()
+        if old is not None and (old[0] == wanted or (sooner and old[0] < wanted)):
+            return
+        if old is not None:
+            self.handle.deleteTimer(old[0])
+        if wanted is None:
+            self.alarm.clear()
+        else:
+            self.handle.registerTimer(wanted)
+            self.alarm.update((wanted,))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r["at_us"], r["event_id"], r["state"]) for r in rows]
-        first = min(r[0] for r in new)
-        self.waiting.appendList(new)
-        # A timer of a later event may stand; it finds nothing to do.
-        self.handle.registerTimer(-(-first // 1000))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [[f[c].tolist() for c in ("task", "at_us", "event_id", "state")] for f in rows if len(f)]
+        self.waiting.appendList([tuple(n) for n in new])
+        self._alarm(-(-min(min(n[1]) for n in new) // 1000), True)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(tuple(r) for r in self.waiting.get())
-        due = [r for r in waiting if r[0] <= now * 1000]
-        left = waiting[len(due) :]
-        state, retries, at = self.current.get() or (None, 0, 0)
+        stored = self.current.get()
+        current = {t: tuple(r) for t, *r in zip(*stored, strict=True)} if stored else {}
+        events = [e for entry in self.waiting.get() for e in zip(*entry, strict=True)]
+        due = [e for e in events if e[1] <= now * 1000]
+        left = [e for e in events if e[1] > now * 1000]
+        due.sort(key=lambda e: (e[1], e[2], e[3] or ""))
         out = []
-        for at_us, event_id, after in due:
+        for task, at_us, event_id, after in due:
+            state, retries, _ = before = current.get(task, (None, 0, 0))
             ok = state is None or after in self.legal.get(state, frozenset())
             if ok:
                 retries += after == "RETRYING"
-            out.append(Row(task_id=key[0], event_id=event_id, before=state, after=after, legal=ok, retries=retries))
-            if ok:
-                state, at = after, at_us
-        finished = state in tables.TERMINAL_STATES and not left and now * 1000 >= at + self.keep_ms * 1000
-        if finished:
-            self.current.clear()
-            self.waiting.clear()
+                current[task] = (after, retries, at_us)
+            else:
+                current[task] = before
+            out.append((task, event_id, state, after, ok, retries))
+        busy = {e[0] for e in left}
+        next_ms = [-(-min(e[1] for e in left) // 1000)] if left else []
+        kept = {}
+        for task, (state, retries, at_us) in current.items():
+            if state in tables.TERMINAL_STATES and task not in busy:
+                expiry = -(-at_us // 1000) + self.keep_ms
+                if expiry <= now:
+                    continue
+                next_ms.append(expiry)
+            kept[task] = (state, retries, at_us)
+        if due:
+            self.waiting.put([columns(left)]) if left else self.waiting.clear()
+        if kept:
+            self.current.update(columns([(task, *r) for task, r in kept.items()]))
         else:
-            if due:
-                self.current.update((state, retries, at))
-                self.waiting.put(left) if left else self.waiting.clear()
-            if left:
-                self.handle.registerTimer(-(-left[0][0] // 1000))
-            elif state in tables.TERMINAL_STATES:
-                self.handle.registerTimer(-(-at // 1000) + self.keep_ms)
-        yield from out
+            self.current.clear()
+        self._alarm(min(next_ms, default=None), False)
+        if out:
+            yield pd.DataFrame(out, columns=["task", "event_id", "before", "after", "legal", "retries"])
+
+
+def columns(rows: list[tuple]) -> tuple:
+    return tuple(list(c) for c in zip(*rows, strict=True))
 
 
-def task_steps(events: DataFrame, late: str = "0 seconds", keep: str = "1 hour") -> DataFrame:
+def task_steps(events: DataFrame, late: str = "0 seconds", keep: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Every state change of a task, in order of time, with whether the rules allow it.
 
     An event waits until the watermark, ``late`` behind the newest event of all, has passed
@@ -99,19 +129,22 @@ def task_steps(events: DataFrame, late: str = "0 seconds", keep: str = "1 hour")
     is dropped. An illegal step is reported and leaves the task as it was; nothing may
     follow a terminal state for ``keep`` of event time, after which the task is forgotten.
     The first state is taken. Ties of time go by event_id.
-    ``events``: task_id, event_id, occurred (timestamp), state; rows without a time are dropped.
+    ``events``: task_id (kept as text inside), event_id, occurred (timestamp), state; rows without
+    a time are dropped.
     """
     key_type = events.schema["task_id"].dataType.simpleString()
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
     timed = events.where(F.col("occurred").isNotNull() & F.col("event_id").isNotNull()).withWatermark("occurred", late)
-    named = timed.select("task_id", F.col("event_id").cast("string").alias("event_id"), "occurred",
+    named = timed.select(F.pmod(F.xxhash64("task_id"), F.lit(buckets)).alias("bucket"), F.col("task_id").cast("string").alias("task"),
+                         F.col("event_id").cast("string").alias("event_id"), "occurred",
                          F.unix_micros("occurred").alias("at_us"), "state")
-    return named.groupBy("task_id").transformWithState(
+    judged = named.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=TaskSteps(keep_ms),
-        outputStructType=f"task_id {key_type}, {STEPS}",
+        outputStructType=f"task string, {STEPS}",
         outputMode="append",
         timeMode="EventTime",
     )
+    return judged.select(F.col("task").cast(key_type).alias("task_id"), "event_id", "before", "after", "legal", "retries")
 
 
 FRESHNESS = "last_seen double, state string, at_ms long"

@@ -79,6 +79,19 @@ def test_state_of_finished_tasks_goes(spark, feed):
         assert stateful.stored_rows(spark, f"{folder}/checkpoint", name) <= 1
 
 
+def test_tasks_share_state_entries(spark, feed):
+    folder, put, stream = feed
+    put([(f"t{i}", f"{i}.1", at(1 + i % 7), "QUEUED") for i in range(900)], EVENT)
+    put([(f"t{i}", f"{i}.0", at(0.5), "PENDING") for i in range(900)] + [("t0", "0.9", at(100), "RUNNING")], EVENT)
+    with stateful.rocksdb_state(spark):
+        out = jobs.run_to_end(stateful.task_steps(stream(EVENT), "30 minutes", "1 hour", buckets=8), folder)
+    got = {r.event_id: (r.before, r.after, r.legal) for r in out.collect()}
+    assert len(got) == 1800  # the step at 100 minutes waits
+    assert all(got[f"{i}.0"] == (None, "PENDING", True) and got[f"{i}.1"] == ("PENDING", "QUEUED", True) for i in range(900))
+    assert stateful.stored_rows(spark, f"{folder}/checkpoint", "current") <= 8
+    assert stateful.stored_rows(spark, f"{folder}/checkpoint", "waiting") == 1
+
+
 def test_worker_changes_with_the_beats_as_clock(spark, feed):
     folder, put, stream = feed
     zero = at(0).replace(tzinfo=dt.timezone.utc).timestamp()
