@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
@@ -216,19 +216,25 @@ def merkle_hash(ids: DataFrame, keys: list[str], column: str, leaf: int = MERKLE
     Null identifiers are no members.
     """
     members = ids.where(F.col(column).isNotNull()).select(*keys, F.sha2(F.col(column).cast("string"), 256).alias("h")).distinct()
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("selected"))
+    # A set's size meets its members by their first byte too, so one key is many groups.
+    # Null keys have no set.
+    members = members.dropna(subset=keys).withColumn("__first", F.substring("h", 1, 2))
+    parts = members.groupBy(*keys, "__first").agg(F.count("*").alias("__n"))
+    sizes = parts.withColumn("selected", F.sum("__n").over(Window.partitionBy(*keys))).drop("__n")
     depth = sum((F.col("selected") > leaf * 256**k).cast("int") for k in range(MERKLE_LEVELS))
     nodes = (
-        members.join(sizes.withColumn("depth", depth), keys)
+        members.join(sizes.withColumn("depth", depth), [*keys, "__first"])
         .groupBy(*keys, "selected", "depth", F.substring("h", F.lit(1), 2 * F.col("depth")).alias("block"))
         .agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
     )
     for level in range(MERKLE_LEVELS, 0, -1):
+        # Nodes that are higher already pass as groups of one: one plan, not two of each level.
         deep = F.length("block") == 2 * level
-        lifted = nodes.where(deep).groupBy(*keys, "selected", "depth", F.substring("block", 1, 2 * level - 2).alias("block")).agg(
-            F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("block", "h"))), ""), 256).alias("h")
-        )
-        nodes = nodes.where(~deep).unionByName(lifted)
+        item = F.when(deep, F.concat("block", "h")).otherwise(F.col("h"))
+        above = F.when(deep, F.substring("block", 1, 2 * level - 2)).otherwise(F.col("block"))
+        lifted = nodes.groupBy(*keys, "selected", "depth", above.alias("above")).agg(F.collect_list(item).alias("items"))
+        joined = F.when(F.col("depth") >= level, F.sha2(F.array_join(F.sort_array("items"), ""), 256)).otherwise(F.col("items")[0])
+        nodes = lifted.select(*keys, "selected", "depth", F.col("above").alias("block"), joined.alias("h"))
     return nodes.select(*keys, "selected", "depth", F.substring("h", 1, 16).alias("selection_hash"))
 
 

@@ -300,3 +300,11 @@ def test_merkle_hash_follows_the_members_alone(spark):
     sizes = {n: tree(ids[:n])[0][2] for n in (1, 4, 5, 1024, 1025)}
     assert sizes == {1: 0, 4: 0, 5: 1, 1024: 1, 1025: 2}
     assert tree([]) == []
+
+
+def test_merkle_hash_spreads_one_key_and_reads_its_members_once(spark):
+    ids = spark.range(5000).select(F.lit("k").alias("k"), F.col("id").cast("string").alias("id"))
+    plan = L.merkle_hash(ids, ["k"], "id", 4)._jdf.queryExecution().executedPlan().toString()
+    # Once for the sizes and once for the leaves, not once for each level of the tree.
+    assert plan.count("sha2(cast(id") <= 2
+    assert "hashpartitioning(k#" in plan and "__first#" in plan
