@@ -21,10 +21,19 @@ IDENTITY = [
 ]
 
 
+#: Places that the units of one asset are dealt to.
+SPREAD = 8
+
+
 def judge_units(units: DataFrame, assets: DataFrame) -> DataFrame:
     """Add quality, asset and the reason a unit cannot become evidence (or null)."""
-    known = assets.select(F.col("sha256").alias("asset_sha256"), "asset_id")
-    joined = units.join(known, "asset_sha256", "left")
+    # Units without an asset meet nobody wherever they are; those of one asset are dealt to SPREAD places.
+    place = F.xxhash64("paper_version_id", "content_sha256")
+    dealt = units.withColumn("__place", F.when(F.col("asset_sha256").isNull(), place).otherwise(F.pmod(place, F.lit(SPREAD))))
+    known = assets.select(
+        F.col("sha256").alias("asset_sha256"), "asset_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SPREAD)])).alias("__place")
+    )
+    joined = dealt.join(known, ["asset_sha256", "__place"], "left").drop("__place")
     reason = (
         F.when((F.col("source_method") == "OCR") & F.col("ocr_confidence").isNull(),
                "ocr_confidence_missing")

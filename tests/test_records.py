@@ -308,3 +308,23 @@ def test_merkle_hash_spreads_one_key_and_reads_its_members_once(spark):
     # Once for the sizes and once for the leaves, not once for each level of the tree.
     assert plan.count("sha2(cast(id") <= 2
     assert "hashpartitioning(k#" in plan and "__first#" in plan
+
+
+def test_units_without_an_asset_are_not_one_group(spark):
+    units = spark.range(400).select(
+        F.col("id").alias("paper_version_id"), F.lit("PARAGRAPH").alias("unit_type"), F.lit(1).alias("page_number"),
+        F.lit(0).alias("ordinal"), F.concat(F.lit("text "), "id").alias("text"), F.lit("PDF_NATIVE").alias("source_method"),
+        F.lit(None).cast("double").alias("ocr_confidence"), F.lit(None).cast("string").alias("bbox"),
+        F.expr("CASE id % 4 WHEN 0 THEN 'known' WHEN 1 THEN 'lost' END").alias("asset_sha256"), F.sha2(F.concat(F.lit("text "), "id"), 256).alias("content_sha256"),
+    )
+    assets = spark.createDataFrame([("known", "a1")], "sha256 string, asset_id string").hint("merge")
+    judged = E.judge_units(units, assets)
+    assert "__place" not in judged.columns
+    got = {tuple(r) for r in judged.groupBy("asset_sha256", "asset_id", "excluded").count().collect()}
+    assert got == {("known", "a1", None, 100), ("lost", None, "unknown_asset", 100), (None, None, None, 200)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        alone = judged.where("asset_sha256 IS NULL").groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert alone > 1
