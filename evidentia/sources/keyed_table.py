@@ -38,6 +38,7 @@ class KeyedTable:
     slot_by: tuple[str, ...]
     slots: int = 64
     buckets: int = 32  # bitmaps of a slot
+    unique: bool = False  # the rows of a batch have different keys already, so they need not meet
 
     # ---- reading -----------------------------------------------------------------
 
@@ -107,17 +108,21 @@ class KeyedTable:
 
     def append(self, batch: DataFrame, commit: str) -> bool:
         """Store the rows of ``batch`` whose key is new, as ``commit``; False if it was committed before."""
-        if not self.ledger().where(F.col("commit") == commit).isEmpty():
+        done = self.ledger()
+        if not done.where(F.col("commit") == commit).isEmpty():
             return False
-        placed = batch.select(*self.schema.names).dropDuplicates(list(self.keys)).withColumn("slot", self._slot())
+        keys, rows = list(self.keys), batch.select(*self.schema.names)
+        placed = rows if self.unique else rows.dropDuplicates(keys)
         data, filters = f"{self.path}/data/commit={commit}", f"{self.path}/filters/commit={commit}"
         # One candidate slot is enough to read; nothing of the others is.
-        hit = [r[0] for r in self.candidates(batch).select("slot").distinct().collect()]
+        hit = [] if done.isEmpty() else [r[0] for r in self.candidates(batch).select("slot").distinct().collect()]
         if hit:
-            known = self._parts().where(F.col("slot").isin(hit)).select(*self.keys)
-            placed, _ = writers.split_new(placed, known, list(self.keys))
-        # Adaptive execution makes whole files of small slots and splits a crowded one.
-        placed.hint("rebalance", "slot").write.mode("overwrite").partitionBy("slot").parquet(data)
+            known = self._parts().where(F.col("slot").isin(hit)).select(*keys)
+            # Keys alone first: of a batch that is stored already nothing else moves.
+            fresh, _ = writers.split_new(rows.select(*keys), known, keys)
+            placed = placed.limit(0) if fresh.isEmpty() else writers.split_new(placed, known, keys)[0]
+        # Rows are written where they are: a task has a file for each of its slots.
+        placed.withColumn("slot", self._slot()).write.mode("overwrite").option("compression", "zstd").partitionBy("slot").parquet(data)
         stored = self._written(data)
         # A slot's bits come from what was written, so a repeated run cannot differ from it.
         bits = self._probes(stored).groupBy("slot", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))

@@ -219,7 +219,10 @@ DOCUMENTS = T.StructType([T.StructField(n, T.StringType()) for n in ("content_sh
 
 @dataclass(frozen=True)
 class Store:
-    """The three sinks of an ingest: documents by content, their evidence, the search projection."""
+    """The three sinks of an ingest: documents by content, their evidence, the search projection.
+
+    ``documents`` takes any rows; what ``ingest`` hands to the other two has every key once.
+    """
 
     documents: KeyedTable
     evidence: KeyedTable
@@ -232,10 +235,10 @@ class Store:
         projection = search.build_projection(*projection_inputs(spark.createDataFrame([], evidence))).schema
 
         def table(name: str, schema: T.StructType, keys: str, slot_by: str) -> KeyedTable:
-            return KeyedTable(spark, f"{path}/{name}", schema, (keys,), (slot_by,), slots)
+            return KeyedTable(spark, f"{path}/{name}", schema, (keys,), (slot_by,), slots, unique=True)
 
         return cls(
-            table("documents", DOCUMENTS, "content_sha256", "content_sha256"),
+            KeyedTable(spark, f"{path}/documents", DOCUMENTS, ("content_sha256",), ("content_sha256",), slots),
             table("evidence", evidence, "evidence_id", "paper_version_id"),
             table("projection", projection, "document_id", "paper_version_id"),
         )
@@ -252,7 +255,9 @@ class Store:
         first = named.groupBy("content_sha256").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d"))
         self.documents.append(first.select("content_sha256", "d.*"), commit)
         new = self.documents.committed(commit).select(F.col("content_sha256").alias("doc_id"), "text")
-        self.evidence.append(evidence_of(new), commit)
+        # Texts move, not their lines: equal lines of a document are where it is. Evidence is one row
+        # per identifier, and a projection of it one row per evidence.
+        self.evidence.append(evidence_of(new.repartition("doc_id")), commit)
         self.projection.append(search.build_projection(*projection_inputs(self.evidence.committed(commit))), commit)
 
 

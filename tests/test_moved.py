@@ -55,3 +55,9 @@ def test_many_asked_words_find_the_same_in_an_index(spark, monkeypatch):
     index = postings_index.build(docs, buckets=2, shard_size=2)
     monkeypatch.setattr(search, "FEW_WORDS", 0)
     assert sorted(tuple(r) for r in postings_index.matches(index, asked).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["st6_chain_projection", "st6_chain_evidence"])
+def test_a_chain_of_sinks_moves_texts_twice(spark, name):
+    # Once to drop equal texts, once to their lines; the last batch, sent again, moves keys alone.
+    assert moved(spark, name) < 5_000_000
