@@ -189,16 +189,27 @@ def neighbors(
 
 
 def entity_cards(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations of every entity with direction and the other end's name."""
-    names = entities.select(F.col("entity_id").alias("other"), F.col("canonical_name").alias("other_name"))
-    return (
-        both_ends(relations)
-        .join(entities.select(F.col("entity_id").alias("node")), "node", "left_semi")
-        .join(names, "other", "left")
-        .select(
-            F.col("node").alias("entity_id"), "relation_id", "relation_type", "direction",
-            F.col("other").alias("other_id"), "other_name", "paper_id",
-        )
+    """Relations of every entity with direction and the other end's name.
+
+    A relation meets its two entities once each and is seen from both ends afterwards.
+    """
+    named = entities.groupBy("entity_id").agg(F.collect_list(F.struct("canonical_name")).alias("names"))
+    sources = named.select(F.col("entity_id").alias("source_entity_id"), F.col("names").alias("source_names"))
+    targets = named.select(F.col("entity_id").alias("target_entity_id"), F.col("names").alias("target_names"))
+    met = relations.select("relation_id", "relation_type", "paper_id", "source_entity_id", "target_entity_id")
+    met = met.join(targets, "target_entity_id", "left").join(sources, "source_entity_id", "left")
+
+    def seen(node: str, other: str, direction: str):
+        names = F.coalesce(f"{other}_names", F.array(F.struct(F.lit(None).cast("string").alias("canonical_name"))))
+        end = lambda n: F.struct(
+            F.col(f"{node}_entity_id").alias("entity_id"), F.lit(direction).alias("direction"),
+            F.col(f"{other}_entity_id").alias("other_id"), n["canonical_name"].alias("other_name"),
+        )
+        return F.when(F.col(f"{node}_names").isNotNull(), F.transform(names, end)).otherwise(F.array())
+
+    ends = F.inline(F.concat(seen("source", "target", "OUT"), seen("target", "source", "IN")))
+    return met.select("relation_id", "relation_type", "paper_id", ends).select(
+        "entity_id", "relation_id", "relation_type", "direction", "other_id", "other_name", "paper_id"
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from evidentia.operators import postings_index, search
+from evidentia.operators import graph, postings_index, search
 from evidentia.plans import catalog
 
 FOLDER = "/root/testdata/sf0.01"  # 60,000 rows of lineitem
@@ -61,3 +61,23 @@ def test_many_asked_words_find_the_same_in_an_index(spark, monkeypatch):
 def test_a_chain_of_sinks_moves_texts_twice(spark, name):
     # Once to drop equal texts, once to their lines; the last batch, sent again, moves keys alone.
     assert moved(spark, name) < 5_000_000
+
+
+def test_a_relation_meets_its_entities_once_each(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moved(spark, "g9_entity_cards") < 12_500_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cards_of_unknown_and_repeated_entities(spark):
+    entities = spark.createDataFrame([("a", "A"), ("b", None), ("c", "C1"), ("c", "C2")], "entity_id string, canonical_name string")
+    rows = [("1", "a", "b"), ("2", "a", "gone"), ("3", "gone", "c"), ("4", "a", "c"), ("5", None, "a"), ("6", "a", "a"), ("7", "gone", "lost")]
+    relations = spark.createDataFrame(rows, "relation_id string, source_entity_id string, target_entity_id string").selectExpr("*", "'T' AS relation_type", "1 AS paper_id")
+    got = sorted(tuple(r) for r in graph.entity_cards(relations, entities).select("relation_id", "entity_id", "direction", "other_id", "other_name").na.fill("-").collect())
+    assert got == sorted([
+        ("1", "a", "OUT", "b", "-"), ("1", "b", "IN", "a", "A"), ("2", "a", "OUT", "gone", "-"), ("3", "c", "IN", "gone", "-"),
+        ("4", "a", "OUT", "c", "C1"), ("4", "a", "OUT", "c", "C2"), ("4", "c", "IN", "a", "A"), ("5", "a", "IN", "-", "-"),
+        ("6", "a", "OUT", "a", "A"), ("6", "a", "IN", "a", "A"),
+    ])
