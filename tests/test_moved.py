@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from evidentia.operators import graph, postings_index, search
+from evidentia import tables
+from evidentia.operators import corpus, graph, overlap, postings_index, search
 from evidentia.plans import catalog
 
 FOLDER = "/root/testdata/sf0.01"  # 60,000 rows of lineitem
@@ -81,3 +84,23 @@ def test_cards_of_unknown_and_repeated_entities(spark):
         ("4", "a", "OUT", "c", "C1"), ("4", "a", "OUT", "c", "C2"), ("4", "c", "IN", "a", "A"), ("5", "a", "IN", "-", "-"),
         ("6", "a", "OUT", "a", "A"), ("6", "a", "IN", "a", "A"),
     ])
+
+
+def test_rivals_by_pairs_of_tokens_are_those_of_all_edges(spark, monkeypatch):
+    rng = random.Random(5)
+    usual = list(tables.GENERIC_CLAIM_TOKENS)[:3]
+    rows = []
+    for i in range(150):
+        words = rng.sample([f"sample{chr(97 + k)}" for k in range(24)] + usual, rng.choice([1, 2, 3, 4, 5, 6, 9, 13, 16]))
+        rows.append((f"c{i:03d}", rng.randrange(12), f"2024-01-{1 + i % 9:02d}", "SUPPORTED", " ".join(words) + f" reached {10 + rng.randrange(4)}.5 percent"))
+    claims = spark.createDataFrame(rows, "claim_id string, paper_id int, created_at string, support_state string, statement string")
+    got = sorted(tuple(r) for r in corpus.numeric_disagreements(claims).collect())
+    edges, met = overlap.overlap_edges, overlap.met_by
+    monkeypatch.setattr(overlap, "overlap_edges", lambda subjects, small: edges(subjects))
+    monkeypatch.setattr(overlap, "met_by", lambda *given: met(*given[:5]))
+    assert len(got) > 50 and got == sorted(tuple(r) for r in corpus.numeric_disagreements(claims).collect())
+
+
+def test_subjects_that_share_two_tokens_are_not_listed_in_pairs(spark):
+    subjects = spark.createDataFrame([(f"a b t{i}",) for i in range(300)], "subject string")
+    assert overlap.overlap_edges(subjects, small=False).count() == 0
