@@ -12,7 +12,8 @@ A bucket forms no square of pairs. First each member is compared with the smalle
 buckets whose members are not all linked by then, members that are not linked are compared:
 all of them in buckets of at most ``SMALL``, with ``LEADERS`` of them in larger ones. What is
 still apart in a larger bucket then meets by shingles, which misses no pair: two sets of
-similarity 0.8 share one of the rarest fifth (and one) of the shingles of either.
+similarity 0.8 share one of the rarest fifth (and one) of the shingles of either, and enough
+shingles are left behind the first one they share.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ _XOR, _TIMES = _SEEDS[: BANDS * ROWS], _SEEDS[BANDS * ROWS :] | np.uint64(1)
 _BLOCK = 1 << 9
 #: Sets of too different sizes are never similar.
 NEAR = "least(size, other) * 5 >= greatest(size, other) * 4"
+#: Classes of sizes, about 2 % wide.
+_CLASS = "CAST(floor(50 * ln({})) AS int)"
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -99,18 +102,32 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def by_rare_shingles(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different roots that can be similar, among all rows (v, size, root)."""
+    """Pairs (a, b), a < b, of different roots that can be similar, among all rows (v, size, root).
+
+    A pair meets at the shingles that both hold, rarest first. At the first one, ``i`` shingles of
+    one set and ``at`` of the other lie before it and are not shared, so at most ``size - i`` and
+    ``other - at`` are; a pair that cannot reach 4/9 of both sizes with these does not meet there.
+    The larger set of a pair names the classes of sizes that it can meet at a shingle.
+    """
     words = sets.join(apart, "v").select("v", "size", "root", F.explode("set").alias("shingle"))
     count = words.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # A shingle of one set alone is the rarest; it takes a place of the prefix and meets nobody.
     ranked = words.join(count, "shingle").groupBy("v", "size", "root")
     ranked = ranked.agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("common"))
-    places = F.floor(F.col("size") / 5) + 1 - (F.col("size") - F.size("common"))
-    prefix = F.slice("common", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))["shingle"]
-    held = common.cut(ranked.select("v", "size", "root", F.explode(prefix).alias("shingle")))
-    other = held.select("shingle", F.col("v").alias("w"), F.col("size").alias("other"), F.col("root").alias("its"))
-    pairs = held.join(other, "shingle").where("v < w and root != its").where(NEAR)
-    return pairs.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
+    ranked = ranked.withColumn("alone", F.col("size") - F.size("common"))
+    places = F.greatest(F.expr("size div 5 + 1 - alone"), F.lit(0)).cast("int")
+    held = ranked.select("v", "size", "root", "alone", F.posexplode(F.slice("common", F.lit(1), places)["shingle"]).alias("i", "shingle"))
+    held = common.cut(held.withColumn("i", F.col("alone") + F.col("i")).drop("alone"))
+    smaller = held.where("9 * i <= size").select(
+        "shingle", F.expr(_CLASS.format("size")).alias("class"),
+        F.col("v").alias("w"), F.col("size").alias("other"), F.col("root").alias("its"), F.col("i").alias("at"),
+    )
+    larger = held.selectExpr("*", "(4 * size + 4) div 5 AS low", "least(size, (5 * size - 9 * i) div 4) AS high").where("low <= high")
+    classes = F.expr(f"sequence({_CLASS.format('low')}, {_CLASS.format('high')})")
+    larger = larger.select("v", "size", "root", "i", "shingle", F.explode(classes).alias("class"))
+    pairs = larger.join(smaller, ["shingle", "class"]).where("root != its AND (other < size OR other = size AND w < v)").where(NEAR)
+    pairs = pairs.where("9 * least(size - i, other - at) >= 4 * (size + other)")
+    return pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
 
 
 def set_links(vertices: DataFrame, texts: DataFrame) -> DataFrame:

@@ -72,3 +72,33 @@ def test_no_pair_of_a_large_bucket_is_lost(spark):
     vertices = spark.createDataFrame([(v, 96, v, [7] * near_copies.BANDS) for v in sets], "v long, size long, row long, keys array<long>")
     found = {tuple(r) for r in near_copies.set_links(vertices, texts).collect()}
     assert found == {(2 * k + 1, 2 * k + 2) for k in range(30)}
+
+
+def left_apart(spark, sets):
+    """The candidates of the exact step for sets that are all apart, in one bucket."""
+    rows = [(v, len(s), v, sorted(s)) for v, s in sets.items()]
+    frame = spark.createDataFrame(rows, "v long, size long, root long, set array<long>")
+    found = near_copies.by_rare_shingles(frame.select("v", "size", "root"), frame.select("v", "set")).collect()
+    assert len(found) == len(set(found))
+    return {tuple(r) for r in found}
+
+
+def test_members_that_share_too_little_do_not_meet(spark):
+    """200 sets with a common core of 80 % of each are no copies, and none of their pairs is formed."""
+    sets = {k: {*range(80), *range(1000 * k, 1000 * k + 20)} for k in range(1, 201)}
+    assert left_apart(spark, sets) == set()
+
+
+def test_rare_shingles_meet_every_similar_pair(spark):
+    """Copies of a core on both sides of the limit, of many sizes, against brute force."""
+    rng = random.Random(9)
+    sets = {}
+    for k in range(300):
+        core = range(rng.choice([4, 5, 9, 10, 40, 45, 50]))
+        own = rng.randrange(len(core) // 6 + 2)
+        sets[k] = {*rng.sample(core, len(core) - rng.randrange(len(core) // 8 + 2)), *(100 * k + 1000 + x for x in range(own))}
+    similar = {(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    found = left_apart(spark, sets)
+    assert len(similar) > 500
+    assert similar <= found
+    assert all(a < b for a, b in found)
