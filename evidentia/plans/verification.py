@@ -333,6 +333,6 @@ pairs AS (SELECT a.paper_version_id, a.subject, b.subject AS other, count(*) AS
 SELECT paper_version_id, subject, other, shared FROM pairs
 WHERE shared >= greatest(2, len(string_split(subject, ' ')) // 2)""")
 def j6(t):
-    return overlap.overlap_edges(verify.prepare(t.claims), ["paper_version_id"]).withColumn(
+    return overlap.overlap_edges(verify.prepare(t.claims), ["paper_version_id"], sift=True).withColumn(
         "shared", F.size("shared").cast("long")
     )
