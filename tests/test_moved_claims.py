@@ -7,7 +7,7 @@ import random
 import pytest
 from test_moved import moved
 
-from evidentia.operators import overlap, verify
+from evidentia.operators import corpus, overlap, verify
 
 
 @pytest.fixture
@@ -61,3 +61,16 @@ def test_one_claim_presses_on_itself_without_any_other(spark):
     )
     got = sorted((r["claim_id"], r["details"].get("critique_claim_id")) for r in verify.falsification(verify.prepare(claims), links).collect())
     assert got == [("a", "a"), ("b", None), ("c", None), ("d", None)]
+
+
+@pytest.mark.parametrize("sent", [0, 10])
+def test_repeated_statements_of_a_paper_meet_and_the_others_stay(spark, monkeypatch, sent):
+    monkeypatch.setattr(overlap, "SENT_HASHES", sent)
+    rows = [("a", "p", 2, "Alpha  reaches 1"), ("b", "p", 1, "alpha reaches 1 "), ("c", "q", 1, "alpha reaches 1"), ("d", "p", 1, None), ("e", "p", 3, None), ("f", None, 1, "x"), ("g", None, 0, "X")]
+    claims = spark.createDataFrame(rows, "claim_id string, paper_id string, created_at int, statement string")
+    assert sorted(r["claim_id"] for r in corpus.distinct_statements(claims).collect()) == ["b", "c", "d", "g"]
+
+
+@pytest.mark.parametrize("name", ["c5_numeric_disagreements", "c5_contradiction_map"])
+def test_a_statement_that_occurs_once_does_not_move_to_find_its_like(shuffled, name):
+    assert moved(shuffled, name) < 360 * 60_000
